@@ -100,7 +100,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sequences_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences_long(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
     """F3 in long form: one row per line of an order with its position.
 
     ``pos`` is the 1-based place of the line in the order's sequence, ordered
@@ -109,6 +109,8 @@ def sequences_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from pyspark.sql import Window
     li = table(spark, sf_dir, "lineitem")
+    if where:
+        li = li.where(where)
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     wy = Window.partitionBy("l_orderkey").orderBy(
@@ -121,9 +123,11 @@ def sequences_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity"), F.col("l_extendedprice"))
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one row per order with parallel arrays (the JSON-lines shape)."""
-    s = sequences_long(spark, sf_dir)
+def sequences(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """one row per order with parallel arrays (the JSON-lines shape).
+
+    ``where`` filters lineitem first (SQL text over its columns)."""
+    s = sequences_long(spark, sf_dir, where)
     k = F.col("seq_id")
     pcs = F.col("l_quantity") + F.when(k % 2 == 1, F.lit(0.5)).otherwise(F.lit(0.0))
     ordered = F.array_sort(F.collect_list(F.struct(

@@ -34,16 +34,20 @@ OUTCOMES = """
 """
 
 # F3 in long form: one row per line with its 1-based position in the order.
-SEQ_LONG = """
-  SELECT l_orderkey AS seq_id,
+def seq_long(where: str = "TRUE") -> str:
+    return f"""
+  SELECT l_orderkey AS seq_id, count(*) OVER (PARTITION BY l_orderkey) AS len,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
                             l_quantity, l_extendedprice) AS pos,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber,
                             l_partkey, l_suppkey, l_quantity) - 1 AS y_rank,
          l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice
-  FROM lineitem
+  FROM lineitem WHERE {where}
 """
 
+
+SEQ_LONG = seq_long()
+
 PREDICTIONS = """
   SELECT CAST(l_returnflag = 'R' AS INTEGER) AS label, 0.05e0 + l_discount + l_tax AS score
   FROM lineitem

@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "wayline.plans.q_trajectory",
     "wayline.plans.q_sql",
+    "wayline.plans.q_vocab",
 ]
 
 
