@@ -8,6 +8,7 @@ _MODULES = [
     "wayline.plans.q_trajectory",
     "wayline.plans.q_sql",
     "wayline.plans.q_vocab",
+    "wayline.plans.q_stats",
 ]
 
 
