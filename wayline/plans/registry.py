@@ -9,6 +9,7 @@ _MODULES = [
     "wayline.plans.q_sql",
     "wayline.plans.q_vocab",
     "wayline.plans.q_stats",
+    "wayline.plans.q_features",
 ]
 
 
