@@ -10,6 +10,7 @@ _MODULES = [
     "wayline.plans.q_vocab",
     "wayline.plans.q_stats",
     "wayline.plans.q_features",
+    "wayline.plans.q_scoring",
 ]
 
 
