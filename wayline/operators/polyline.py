@@ -84,21 +84,30 @@ def encode_polylines(points: DataFrame, trip: str = "trip", order=("ts", "seq"))
                                  lambda s: s["_t"]), "").alias("text"))
 
 
-def decode_numbers(text: Column) -> Column:
-    """The numbers of a text, in order (array<bigint>)."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    vals = F.transform(chars, lambda c: (F.instr(F.lit(CODE_TABLE), c) - 1))
-    n = F.size(vals)
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                    lambda i: (i <= n) & (F.try_element_at(vals, i) < 32))
-    starts = F.transform(ends, lambda e, j: F.when(j == 0, F.lit(1))
-                         .otherwise(F.element_at(ends, j) + 1))
-    spans = F.arrays_zip(starts.alias("s"), ends.alias("e"))
-    return F.transform(spans, lambda se: F.aggregate(
-        F.sequence(se["s"], se["e"]), F.lit(0).cast("bigint"),
-        lambda acc, i: acc + _shl(
-            (F.element_at(vals, i) - F.when(i < se["e"], F.lit(32)).otherwise(F.lit(0))).cast("bigint"),
-            ((i - se["s"]) * 5).cast("int"))))
+def decode_numbers(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Add ``_nums``: the numbers of each text, in order (array<bigint>).
+
+    Each intermediate array is its own projection step, so it is computed
+    once per row (not re-evaluated inside every lambda).
+    """
+    v = df.select(*keep, F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""),
+                                     lambda c: F.instr(F.lit(CODE_TABLE), c) - 1).alias("_vals"))
+    n = F.size("_vals")
+    e = v.select(*keep, "_vals", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                                          lambda i: (i <= n) & (F.try_element_at(F.col("_vals"), i) < 32))
+                 .alias("_ends"))
+    sp = e.select(*keep, "_vals", F.arrays_zip(
+        F.transform("_ends", lambda x, j: F.when(j == 0, F.lit(1))
+                    .otherwise(F.element_at(F.col("_ends"), j) + 1)).alias("s"),
+        F.col("_ends").alias("e")).alias("_spans"))
+    return sp.select(*keep, F.transform("_spans", lambda se: F.aggregate(
+        F.slice(F.col("_vals"), se["s"], se["e"] - se["s"] + 1), F.struct(
+            F.lit(0).cast("bigint").alias("acc"), F.lit(0).alias("k")),
+        lambda st, d: F.struct(
+            (st["acc"] + _shl((d - F.when(st["k"] < se["e"] - se["s"], F.lit(32)).otherwise(F.lit(0)))
+                              .cast("bigint"), (st["k"] * 5).cast("int"))).alias("acc"),
+            (st["k"] + 1).alias("k")),
+        lambda st: st["acc"])).alias("_nums"))
 
 
 def unpair(e: Column) -> tuple[Column, Column]:
@@ -119,9 +128,10 @@ def decode_polylines(df: DataFrame, trip: str = "trip", text: str = "text",
     into deltas, and summed with running sums split into chunks of
     ``chunk`` numbers (offsets from per-chunk totals).
     """
-    nums = df.select(trip, F.posexplode(decode_numbers(F.col(text))).alias("_k", "_e"))
+    nums = decode_numbers(df, text, [trip]).select(trip, F.posexplode("_nums").alias("_k", "_e"))
     x, y = unpair(F.col("_e"))
-    d = nums.select(trip, (F.col("_k") + 1).alias("k"), unzigzag(x).alias("dlat"), unzigzag(y).alias("dlng"))
+    d = nums.select(trip, (F.col("_k") + 1).cast("bigint").alias("k"), unzigzag(x).alias("dlat"),
+                    unzigzag(y).alias("dlng"))
     r = running_sum(d, [trip], ["k"], ["dlat", "dlng"], bucket=F.floor(F.col("k") / F.lit(chunk)))
     return r.select(trip, "k", (F.col("cum_dlat") / F.lit(float(PRECISION))).alias("lat"),
                     (F.col("cum_dlng") / F.lit(float(PRECISION))).alias("lng"))

@@ -11,6 +11,8 @@ _MODULES = [
     "wayline.plans.q_stats",
     "wayline.plans.q_features",
     "wayline.plans.q_scoring",
+    "wayline.plans.q_linalg",
+    "wayline.plans.q_geo",
 ]
 
 
