@@ -61,9 +61,9 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("count"),
         ((F.unix_micros(F.max("ts").cast("timestamp")) -
           F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(6e7) + F.lit(1.0)).alias("ata"),
-        F.collect_list(F.when(F.col("title") == "signup",
+        F.array_sort(F.collect_list(F.when(F.col("title") == "signup",
                               F.struct(F.col("seq").alias("id"),
-                                       F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")))).alias("req"),
+                                       F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))))).alias("req"),
         F.collect_list(pt).alias("_tjs"),
         F.collect_list(txt).alias("grid_trajs"),
     )

@@ -75,8 +75,8 @@ def case_summary(cases: DataFrame) -> DataFrame:
     number of requests and each request as JSON."""
     rate = F.format_number(F.col("count") / F.col("ata") * F.lit(5.0), 2)
     req_json = F.array_join(F.transform(F.col("req"), lambda r: F.to_json(r)), "</br>")
-    info = F.concat_ws(",", F.col("waybill_code"), F.col("enter_grid_ts").cast("string"),
-                       F.col("leave_grid_ts").cast("string"), F.col("count").cast("string"),
+    info = F.concat_ws(",", F.col("waybill_code"), F.date_format("enter_grid_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+                       F.date_format("leave_grid_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("count").cast("string"),
                        F.regexp_replace(rate, ",", ""))
     return cases.select(
         "trip", "waybill_code", "count",
