@@ -13,6 +13,8 @@ _MODULES = [
     "wayline.plans.q_scoring",
     "wayline.plans.q_linalg",
     "wayline.plans.q_geo",
+    "wayline.plans.q_shape",
+    "wayline.plans.q_sources",
 ]
 
 

@@ -64,12 +64,23 @@ def write_name_value(df: DataFrame, path: str, n: int, order) -> None:
     lines.orderBy("_row", "fi").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_partitions(df: DataFrame, path: str, partition_cols, fmt: str = "parquet") -> None:
-    """Dynamic-partition overwrite: only partitions present in ``df`` are replaced."""
+def write_partitions(df: DataFrame, path: str, partition_cols, fmt: str = "parquet",
+                     spread: int | None = None) -> None:
+    """Dynamic-partition overwrite: only partitions present in ``df`` are replaced.
+
+    Rows are first shuffled by the partition columns so each output folder
+    gets its files from one task (not one small file per task per folder).
+    ``spread`` > 1 adds a salt, so a hot partition is written by that many
+    tasks (and files) instead of one.
+    """
     spark = df.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    cols = [F.col(c) for c in partition_cols]
+    if spread and spread > 1:
+        cols.append(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(spread)))
     try:
-        df.write.mode("overwrite").partitionBy(*partition_cols).format(fmt).save(path)
+        (df.repartition(*cols).write.mode("overwrite").partitionBy(*partition_cols)
+           .format(fmt).save(path))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
