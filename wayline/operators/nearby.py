@@ -7,36 +7,62 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.functions.geo import haversine_m
+from wayline.functions.geo import EARTH_RADIUS_M
 
 # Fixed values
 METRES_PER_DEG_LAT_MIN = 110_000.0   # lower bound of the length of one degree of latitude
 
 
 def nearby_stats(left: DataFrame, right: DataFrame, r_m: float, key: str = "oid",
-                 lng: str = "lng", lat: str = "lat") -> DataFrame:
+                 lng: str = "lng", lat: str = "lat", cells_per_radius: int = 2) -> DataFrame:
     """For each left point: number, nearest and mean distance of right points within ``r_m``.
 
-    Both sides are cut into grid cells at least ``r_m`` wide (the longitude
-    width uses the largest |latitude| in the data, one aggregate).  The right
-    side is copied into its 3 x 3 neighbourhood and joined on the cell, so
-    only pairs in neighbouring cells are compared - never all pairs.
+    Both sides are cut into grid cells ``r_m / k`` wide (``k`` =
+    ``cells_per_radius``; the longitude width uses the largest |latitude| in
+    the data, one aggregate).  The right side is copied into the
+    ``(2k+1) x (2k+1)`` neighbourhood and joined on the cell, so only pairs
+    in nearby cells are compared - never all pairs.  Finer cells (larger k)
+    compare fewer pairs (area ``((2k+1)/k)^2 r^2`` against ``pi r^2``) at the
+    cost of more copies of the right side.
     """
-    mx = left.select(F.max(F.abs(lat))).union(right.select(F.max(F.abs(lat)))).agg(F.max("max(abs(lat))")).first()[0]
+    mx = left.select(F.max(F.abs(lat)).alias("m")).union(right.select(F.max(F.abs(lat)).alias("m"))) \
+        .agg(F.max("m")).first()[0]
     mx = min(float(mx or 0.0) + 0.5, 89.0)
+    k = max(1, int(cells_per_radius))
     dlat = r_m / METRES_PER_DEG_LAT_MIN
     dlng = dlat / math.cos(math.radians(mx))
+    clat, clng = dlat / k, dlng / k
+    # per point once: radians and cosine, so a pair costs two sines and a compare
     lc = left.select(key, F.col(lng).alias("_lng"), F.col(lat).alias("_lat"),
-                     F.floor(F.col(lng) / F.lit(dlng)).cast("bigint").alias("_cx"),
-                     F.floor(F.col(lat) / F.lit(dlat)).cast("bigint").alias("_cy"))
-    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+                     F.radians(lat).alias("_p1"), F.radians(lng).alias("_l1"),
+                     F.cos(F.radians(lat)).alias("_c1"),
+                     F.floor(F.col(lng) / F.lit(clng)).cast("bigint").alias("_cx"),
+                     F.floor(F.col(lat) / F.lit(clat)).cast("bigint").alias("_cy"))
+    rng = range(-k, k + 1)
+    offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in rng for b in rng
+                     if (max(abs(a) - 1, 0) * clat) ** 2 + (max(abs(b) - 1, 0) * clat) ** 2 <= dlat ** 2])
     rc = right.select(F.col(lng).alias("_rlng"), F.col(lat).alias("_rlat"),
-                      F.floor(F.col(lng) / F.lit(dlng)).cast("bigint").alias("_rx"),
-                      F.floor(F.col(lat) / F.lit(dlat)).cast("bigint").alias("_ry"))
+                      F.radians(lat).alias("_p2"), F.radians(lng).alias("_l2"),
+                      F.cos(F.radians(lat)).alias("_c2"),
+                      F.floor(F.col(lng) / F.lit(clng)).cast("bigint").alias("_rx"),
+                      F.floor(F.col(lat) / F.lit(clat)).cast("bigint").alias("_ry"))
     rc = rc.select("*", F.explode(offs).alias("_o")).select(
-        "_rlng", "_rlat", (F.col("_rx") + F.col("_o.a")).alias("_cx"), (F.col("_ry") + F.col("_o.b")).alias("_cy"))
-    pairs = lc.join(rc, ["_cx", "_cy"]).select(key, haversine_m("_lng", "_lat", "_rlng", "_rlat").alias("_d")) \
-        .where(F.col("_d") <= F.lit(r_m))
+        "_rlng", "_rlat", "_p2", "_l2", "_c2",
+        (F.col("_rx") + F.col("_o.a")).alias("_cx"), (F.col("_ry") + F.col("_o.b")).alias("_cy"))
+    # haversine term a = sin^2(dphi/2) + cos1 cos2 sin^2(dlambda/2); d <= r  <=>  a <= sin^2(r / 2R)
+    a = (F.pow(F.sin((F.col("_p2") - F.col("_p1")) / 2), 2) +
+         F.col("_c1") * F.col("_c2") * F.pow(F.sin((F.col("_l2") - F.col("_l1")) / 2), 2))
+    a_max = math.sin(r_m / (2 * EARTH_RADIUS_M)) ** 2 * (1 + 1e-12)
+    box = (F.abs(F.col("_lat") - F.col("_rlat")) <= F.lit(dlat)) & \
+          (F.abs(F.col("_lng") - F.col("_rlng")) <= F.lit(dlng))
+    d = F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
+    # spread the probe side by cell: a sort-merge join reuses this partitioning,
+    # a broadcast join gets one task per slice of cells instead of one per input file
+    nparts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lc = lc.repartition(nparts, "_cx", "_cy")
+    # one conjunction, cheapest test first: the optimizer keeps this order in the join condition
+    pairs = (lc.join(rc, ["_cx", "_cy"]).where(box & (a <= F.lit(a_max)) & (d <= F.lit(r_m)))
+               .select(key, d.alias("_d")))
     agg = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_cars"), F.min("_d").alias("min_dist"),
                                  F.avg("_d").alias("avg_dist"))
     return left.select(key).join(agg, key, "left").select(

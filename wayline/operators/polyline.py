@@ -43,14 +43,18 @@ def pair_index(x: Column, y: Column) -> Column:
 
 
 def digits_text(idx: Column) -> Column:
-    """Base-32 digits of ``idx``, low first, continuation +32 on all but the last."""
-    nd = F.size(F.filter(F.sequence(F.lit(0), F.lit(MAX_DIGITS - 1)),
-                         lambda k: _shr(idx, k * 5) > 0))
-    chars = F.transform(F.sequence(F.lit(0), F.greatest(nd - 1, F.lit(0))), lambda k: F.substring(
-        F.lit(CODE_TABLE),
-        (_shr(idx, k * 5).bitwiseAND(F.lit(31)) + F.when(k < nd - 1, F.lit(32)).otherwise(F.lit(0)) + 1)
-        .cast("int"), 1))
-    return F.when(nd == 0, F.lit("")).otherwise(F.array_join(chars, ""))
+    """Base-32 digits of ``idx``, low first, continuation +32 on all but the last.
+
+    At most ``MAX_DIGITS`` digits, so the loop is unrolled into scalar
+    expressions (compiled by whole-stage code generation).
+    """
+    parts = []
+    for k in range(MAX_DIGITS):
+        here = F.shiftright(idx, 5 * k)
+        more = F.shiftright(idx, 5 * (k + 1)) > 0
+        pos = here.bitwiseAND(F.lit(31)) + F.when(more, F.lit(32)).otherwise(F.lit(0)) + 1
+        parts.append(F.when(here > 0, F.substring(F.lit(CODE_TABLE), pos.cast("int"), 1)).otherwise(F.lit("")))
+    return F.concat(*parts)
 
 
 def encode_points(points: DataFrame, trip: str = "trip", order=("ts", "seq"),
@@ -128,7 +132,7 @@ def decode_polylines(df: DataFrame, trip: str = "trip", text: str = "text",
     into deltas, and summed with running sums split into chunks of
     ``chunk`` numbers (offsets from per-chunk totals).
     """
-    nums = decode_numbers(df, text, [trip]).select(trip, F.posexplode("_nums").alias("_k", "_e"))
+    nums = decode_numbers(df.select(trip, text), text, [trip]).select(trip, F.posexplode("_nums").alias("_k", "_e"))
     x, y = unpair(F.col("_e"))
     d = nums.select(trip, (F.col("_k") + 1).cast("bigint").alias("k"), unzigzag(x).alias("dlat"),
                     unzigzag(y).alias("dlng"))

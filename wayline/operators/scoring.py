@@ -40,20 +40,47 @@ def _log_terms(eta: Column, logits: Column, x: Column, with_density: bool) -> Co
     return F.zip_with(eta, lsm, lambda e, l: (e if with_density else F.lit(0.0)) - F.exp(e) * x + l)
 
 
+def _lse_list(xs: list) -> Column:
+    m = F.greatest(*xs) if len(xs) > 1 else xs[0]
+    tot = xs[0] - m
+    acc = F.exp(tot)
+    for x in xs[1:]:
+        acc = acc + F.exp(x - m)
+    return m + F.ln(acc)
+
+
+def _unrolled(eta: Column, logits: Column, x: Column, k: int, with_density: bool) -> Column:
+    """The log-sum-exp of ``_log_terms`` with ``k`` known: plain scalar expressions
+    (compiled by whole-stage code generation, unlike array lambdas)."""
+    ls = [F.element_at(logits, i + 1) for i in range(k)]
+    lse_l = _lse_list(ls)
+    terms = []
+    for i in range(k):
+        e = F.element_at(eta, i + 1)
+        terms.append((e if with_density else F.lit(0.0)) - F.exp(e) * x + ls[i] - lse_l)
+    return _lse_list(terms)
+
+
 def competing_risk_rows(df: DataFrame, xt: str = "Xt", labels=("assignd", "canceld", "timeoutd"),
-                        eta_d="eta_d", eta_c="eta_c", logits_d="logits_d", logits_c="logits_c") -> DataFrame:
+                        eta_d="eta_d", eta_c="eta_c", logits_d="logits_d", logits_c="logits_c",
+                        k: int | None = None) -> DataFrame:
     """Per-row negative log likelihood of the two-cause exponential mixture.
 
     With S(x) = sum pi e^(-lambda x) and f(x) = sum pi lambda e^(-lambda x):
     assigned = -ln f_d - ln S_c; cancelled = -ln f_c - ln S_d;
-    timed out = -ln S_d - ln S_c.  All in log-sum-exp form.
+    timed out = -ln S_d - ln S_c.  All in log-sum-exp form.  With ``k`` (the
+    number of components, fixed by the model) the sums are unrolled.
     """
     x = F.col(xt).cast("double")
     ed, ec, ld, lc = F.col(eta_d), F.col(eta_c), F.col(logits_d), F.col(logits_c)
-    log_fd = _lse(_log_terms(ed, ld, x, True))
-    log_fc = _lse(_log_terms(ec, lc, x, True))
-    log_sd = _lse(_log_terms(ed, ld, x, False))
-    log_sc = _lse(_log_terms(ec, lc, x, False))
+    if k:
+        log_fd, log_fc = _unrolled(ed, ld, x, k, True), _unrolled(ec, lc, x, k, True)
+        log_sd, log_sc = _unrolled(ed, ld, x, k, False), _unrolled(ec, lc, x, k, False)
+    else:
+        log_fd = _lse(_log_terms(ed, ld, x, True))
+        log_fc = _lse(_log_terms(ec, lc, x, True))
+        log_sd = _lse(_log_terms(ed, ld, x, False))
+        log_sc = _lse(_log_terms(ec, lc, x, False))
     out0 = -log_fd - log_sc
     out1 = -log_fc - log_sd
     out2 = -log_sd - log_sc

@@ -12,6 +12,9 @@ from wayline.plans.oracle_fixtures import OUTCOMES, PREDICTIONS, seq_long
 from wayline.sources.tables import table
 
 
+K = 2   # mixture components per cause in the F2 parameters
+
+
 def with_params(df):
     """F2 mixture parameters: constants plus multiples of (orderkey % 10), two components."""
     m = (F.col("orderkey") % 10).cast("double")
@@ -65,7 +68,7 @@ def _nll_sql() -> str:
 
 
 def q_competing_risk_rows(spark, sf):
-    r = so.competing_risk_rows(with_params(fx.outcomes(spark, sf)))
+    r = so.competing_risk_rows(with_params(fx.outcomes(spark, sf)), k=K)
     return r.select("oid", F.round("nll", 6).alias("nll"))
 
 
@@ -73,7 +76,7 @@ SQL_COMPETING_RISK_ROWS = f"WITH {PARAMS_SQL}\nSELECT oid, round({_nll_sql()}, 6
 
 
 def q_competing_risk_nll(spark, sf):
-    return so.competing_risk_nll(with_params(fx.outcomes(spark, sf))).select(F.round("loss", 6).alias("loss"))
+    return so.competing_risk_nll(with_params(fx.outcomes(spark, sf)), k=K).select(F.round("loss", 6).alias("loss"))
 
 
 SQL_COMPETING_RISK_NLL = f"WITH {PARAMS_SQL}\nSELECT round(avg({_nll_sql()}), 6) AS loss FROM p"
