@@ -10,7 +10,7 @@ def test_stream_matches_batch(spark, sf, tmp_path):
     from wayline.sources.tables import table
     from wayline.streaming.online_features import run_to_table, window_aggregates
     ev = table(spark, sf, "events")
-    src = spark.readStream.schema(ev.schema).parquet(sf + "/events.parquet")
+    src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     agg = window_aggregates(src, "event_type", "ts", {"n": "count", "v": "avg:value"}, 15, "1 minute")
     out = str(tmp_path / uuid.uuid4().hex)
     q = run_to_table(agg, out, str(tmp_path / uuid.uuid4().hex))
