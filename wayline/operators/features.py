@@ -76,7 +76,7 @@ def rolling_features(df: DataFrame, key: str, ts: str, metrics: Mapping[str, str
     tsec = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
     own = F.floor(tsec / F.lit(bsec)).cast("bigint")
     nxt = F.floor((tsec + F.lit(hmax * 60)) / F.lit(bsec)).cast("bigint")
-    base = df.withColumn("_own", own).withColumn("_rid", F.monotonically_increasing_id())
+    base = df.withColumn("_own", own)
     x = base.select("*", F.explode(F.array_distinct(F.array(F.col("_own"), nxt))).alias("_bk"))
     order_col = F.unix_micros(F.col(ts).cast("timestamp"))
     aggs = []
