@@ -137,14 +137,18 @@ SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS label, l_quantity AS f0, l_discount
 
 
 def _json_array_file(df, path):
-    """Write rows as one JSON array text file (the map pages read arrays)."""
-    from pyspark.sql import Window
+    """Write rows as one JSON array text file (the map pages read arrays).
+
+    The first record (smallest text) is found by one aggregate, not by
+    numbering all rows; only the final single-file write is one task, as the
+    array format requires.
+    """
     js = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
-    w = Window.orderBy("j")
-    lines = js.select(F.concat(F.when(F.row_number().over(w) == 1, F.lit("[")).otherwise(F.lit(",")),
+    first = js.agg(F.min("j")).first()[0]
+    lines = js.select(F.concat(F.when(F.col("j") == F.lit(first), F.lit("[")).otherwise(F.lit(",")),
                                F.col("j")).alias("value"), F.col("j").alias("_o"))
     spark = df.sparkSession
-    end = spark.createDataFrame([("]", "￿")], "value string, _o string")
+    end = spark.createDataFrame([("]", "\uffff")], "value string, _o string")
     lines.union(end).orderBy("_o").select("value").coalesce(1).write.text(path)
 
 
