@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from wayline import fixtures as fx
 from wayline.plans.oracle_fixtures import POINTS

@@ -49,7 +49,6 @@ def name_value_lines(df: DataFrame, n: int, order) -> DataFrame:
     """First ``n`` rows as ``row \\t name \\t value`` lines (one line per field)."""
     cols = df.columns
     top = df.orderBy(*order).limit(n)
-    from wayline.operators.ordered import with_previous  # noqa: F401 (kept light)
     top = top.withColumn("_row", F.monotonically_increasing_id())
     long = top.select("_row", F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"), F.lit(i).alias("fi"))
