@@ -127,17 +127,29 @@ def unpair(e: Column) -> tuple[Column, Column]:
 def decode_polylines(df: DataFrame, trip: str = "trip", text: str = "text") -> DataFrame:
     """``(trip, k, lat, lng)`` in path order, k from 1.
 
-    The numbers of each text are found inside its row, exploded, turned
-    into deltas and summed by a running window per trip.  A trip's text is
-    one row, decoded by one task in any case, so the per-trip window adds no
-    skew beyond the format's own; it reads the decoded numbers once (a
-    bucketed sum would compute the whole upstream pipeline twice).
+    Relational decoding, no array lambdas: characters are exploded with
+    their position; running window functions give each character its
+    number (terminal characters before it) and its digit place (distance to
+    the last terminal before it); a group-by sums the digits of each number;
+    a running window turns deltas into coordinates.  Every step is
+    partitioned by trip (one exchange): a trip's text is one row, decoded
+    by one task in any case, so this adds no skew beyond the format's own.
     """
     from pyspark.sql import Window
-    nums = decode_numbers(df.select(trip, text), text, [trip]).select(trip, F.posexplode("_nums").alias("_k", "_e"))
-    x, y = unpair(F.col("_e"))
-    d = nums.select(trip, (F.col("_k") + 1).cast("bigint").alias("k"), unzigzag(x).alias("dlat"),
-                    unzigzag(y).alias("dlng"))
+    chars = df.select(trip, F.posexplode(F.split(F.col(text), "")).alias("pos", "c")).where(F.col("c") != "")
+    v = F.instr(F.lit(CODE_TABLE), F.col("c")) - 1
+    before = Window.partitionBy(trip).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    x = chars.select(trip, "pos", v.alias("v"))
+    term = F.col("v") < 32
+    x = x.select(trip, "pos", "v",
+                 F.coalesce(F.sum(term.cast("int")).over(before), F.lit(0)).alias("num"),
+                 F.coalesce(F.max(F.when(term, F.col("pos"))).over(before), F.lit(-1)).alias("last_t"))
+    place = (F.col("pos") - F.col("last_t") - 1).cast("int")
+    digit = (F.col("v") - F.when(term, F.lit(0)).otherwise(F.lit(32))).cast("bigint")
+    nums = x.groupBy(trip, "num").agg(F.sum(_shl(digit, place * 5)).alias("_e"))
+    xx, yy = unpair(F.col("_e"))
+    d = nums.select(trip, (F.col("num") + 1).cast("bigint").alias("k"), unzigzag(xx).alias("dlat"),
+                    unzigzag(yy).alias("dlng"))
     w = Window.partitionBy(trip).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d.select(trip, "k", (F.sum("dlat").over(w) / F.lit(float(PRECISION))).alias("lat"),
                     (F.sum("dlng").over(w) / F.lit(float(PRECISION))).alias("lng"))
