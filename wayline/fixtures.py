@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.functions.scalars import epoch_micros
 from wayline.sources.tables import table
 
 
@@ -50,7 +51,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.col("lat") - F.col("grid_lat")) ** 2) * F.lit(1e5)
     pt = F.struct("lng", "lat", "ts", "spd", "acc")
     txt = F.array(_fmt(F.col("lng"), 6), _fmt(F.col("lat"), 6),
-                  F.unix_micros(F.col("ts").cast("timestamp")).cast("string"),
+                  epoch_micros("ts").cast("string"),
                   F.coalesce(_fmt(F.col("spd"), 4), F.lit("")),
                   _fmt(d2g, 2))
     agg = p.groupBy("trip", "grid_lng", "grid_lat").agg(
@@ -59,11 +60,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("ts").alias("enter_grid_ts"),
         F.max("ts").alias("leave_grid_ts"),
         F.count(F.lit(1)).cast("int").alias("count"),
-        ((F.unix_micros(F.max("ts").cast("timestamp")) -
-          F.unix_micros(F.min("ts").cast("timestamp"))) / F.lit(6e7) + F.lit(1.0)).alias("ata"),
+        ((epoch_micros(F.max("ts")) - epoch_micros(F.min("ts"))) / F.lit(6e7) + F.lit(1.0)).alias("ata"),
         F.array_sort(F.collect_list(F.when(F.col("title") == "signup",
                               F.struct(F.col("seq").alias("id"),
-                                       F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))))).alias("req"),
+                                       epoch_micros("ts").alias("ts"))))).alias("req"),
         F.collect_list(pt).alias("_tjs"),
         F.collect_list(txt).alias("grid_trajs"),
     )

@@ -55,3 +55,15 @@ def label_vector(cols: Sequence[str] = ("assignd", "canceld", "timeoutd")) -> Co
 
 def null_indicator(c) -> Column:
     return F.when(_c(c).isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
+
+def epoch_micros(c) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (``timestamp_ntz``) value,
+    independent of the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            _c(c).cast("timestamp_ntz"))
+
+
+def from_epoch_micros(c) -> Column:
+    """Inverse of ``epoch_micros``: a ``timestamp_ntz``."""
+    return F.timestamp_add("MICROSECOND", _c(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

@@ -7,7 +7,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.functions.scalars import null_indicator
+from wayline.functions.scalars import epoch_micros, from_epoch_micros, null_indicator
 
 
 def null_indicators(df: DataFrame, cols: Sequence[str], fill=0.0) -> DataFrame:
@@ -73,12 +73,12 @@ def rolling_features(df: DataFrame, key: str, ts: str, metrics: Mapping[str, str
     """
     hmax = max(horizons)
     bsec = bucket_minutes * 60
-    tsec = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
+    tsec = epoch_micros(ts) / F.lit(1e6)
     own = F.floor(tsec / F.lit(bsec)).cast("bigint")
     nxt = F.floor((tsec + F.lit(hmax * 60)) / F.lit(bsec)).cast("bigint")
     base = df.withColumn("_own", own)
     x = base.select("*", F.explode(F.array_distinct(F.array(F.col("_own"), nxt))).alias("_bk"))
-    order_col = F.unix_micros(F.col(ts).cast("timestamp"))
+    order_col = epoch_micros(ts)
     aggs = []
     for h in horizons:
         w = (Window.partitionBy(key, "_bk").orderBy(order_col)
@@ -102,7 +102,8 @@ def shifted_window_features(df: DataFrame, key: str, ts: str, metrics: Mapping[s
     One aggregation, then two equi-joins of the (small) window table with
     itself on shifted window starts.
     """
-    win = F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes")
+    step = minutes * 60 * 1_000_000
+    win = (F.floor(epoch_micros(ts) / F.lit(step)) * F.lit(step)).cast("bigint")
     aggs = []
     for m, spec in metrics.items():
         if spec == "count":
@@ -110,16 +111,14 @@ def shifted_window_features(df: DataFrame, key: str, ts: str, metrics: Mapping[s
         else:
             fn, col = spec.split(":")
             aggs.append(getattr(F, fn)(F.col(col)).alias(m))
-    g = df.groupBy(key, win.alias("w")).agg(*aggs)
-    g = g.select(key, F.unix_micros(F.col("w.start")).alias("wstart"), *metrics.keys())
-    step = minutes * 60 * 1_000_000
+    g = df.groupBy(key, win.alias("wstart")).agg(*aggs)
     day = 86400 * 1_000_000
     pre = g.select(key, (F.col("wstart") + F.lit(step)).alias("wstart"),
                    *[F.col(m).alias(m + "_pre1") for m in metrics])
     dan = g.select(key, (F.col("wstart") - F.lit(step) + F.lit(day)).alias("wstart"),
                    *[F.col(m).alias(m + "_day_ago_next") for m in metrics])
     return (g.join(pre, [key, "wstart"], "left").join(dan, [key, "wstart"], "left")
-             .withColumn("window_start", F.timestamp_micros("wstart").cast("timestamp_ntz")).drop("wstart"))
+             .withColumn("window_start", from_epoch_micros("wstart")).drop("wstart"))
 
 
 def user_history(orders: DataFrame, user: str, xt: str = "Xt",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import haversine_m
+from wayline.functions.scalars import epoch_micros
 from wayline.operators.ordered import with_previous
 
 # Fixed values
@@ -137,8 +138,7 @@ def trajectory_stats(points: DataFrame, key: str = "trip", jump_m: float = 1000.
         F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
         F.count(F.lit(1)).alias("n_points"),
         F.count_if(step > F.lit(jump_m)).alias("n_jumps"))
-    span_min = (F.unix_micros(F.col("max_ts").cast("timestamp")) -
-                F.unix_micros(F.col("min_ts").cast("timestamp"))) / F.lit(6e7)
+    span_min = (epoch_micros("max_ts") - epoch_micros("min_ts")) / F.lit(6e7)
     return g.select(key, "min_ts", "max_ts", "n_points", "n_jumps",
                     F.round(F.col("n_points") / (span_min + F.lit(1.0)), 4).alias("freq"))
 
