@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from wayline import fixtures as fx
 from wayline.plans.oracle_fixtures import POINTS
-from wayline.plans.sql import Ident, register_sql_functions, register_udf, sql_batch, sql_template
+from wayline.plans.sql import Ident, batch_param_view, register_sql_functions, register_udf, sql_batch, \
+    sql_template
 from wayline.sources.tables import register_views
 
 # ---- #23 joins --------------------------------------------------------------
@@ -243,6 +244,18 @@ SQL_BATCH = "\nUNION ALL\n".join(
     BATCH.format(label=f"'{lab}'", flag=f"'{fl}'", min_q="10e0")
     for lab, fl in [("a", "A"), ("n", "N"), ("r", "R")])
 
+def q_sql_batch_single_scan(spark, sf):
+    """The same batch as one query: the zipped parameters as a small table joined once,
+    so lineitem is scanned once however many tuples the batch has."""
+    register_views(spark, sf, ["lineitem"])
+    batch_param_view(spark, {"label": ["a", "n", "r", "extra"], "flag": ["A", "N", "R"]},
+                     {"min_q": 10.0}, view="wl_batch")
+    return spark.sql("""
+      SELECT /*+ BROADCAST(p) */ p.label, count(*) AS n, round(sum(l.l_quantity), 2) AS qty
+      FROM lineitem l JOIN wl_batch p ON l.l_returnflag = p.flag AND l.l_quantity >= p.min_q
+      GROUP BY p.label""")
+
+
 # ---- #1-3 scans ----------------------------------------------------------------------
 
 
@@ -340,6 +353,7 @@ QUERIES = {
     "sql_scalars": (q_sql_scalars, SQL_SCALARS),
     "sql_text_scalars": (q_sql_text_scalars, SQL_TEXT_SCALARS),
     "sql_batch": (q_sql_batch, SQL_BATCH),
+    "sql_batch_single_scan": (q_sql_batch_single_scan, SQL_BATCH),
     "scan_sql": (q_scan_sql, SQL_SCAN_SQL),
     "collect_sql": (q_collect_sql, SQL_COLLECT_SQL),
     "udf_sql": (q_udf_sql, SQL_UDF_SQL),
