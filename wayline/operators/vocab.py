@@ -47,21 +47,31 @@ def token_pairs(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     return df.select(F.inline(F.concat(*parts)))
 
 
-def dense_ids(df: DataFrame, key: str, order: str, out: str = "id", prefix_len: int = 3) -> DataFrame:
+def dense_ids(df: DataFrame, key: str, order: str, out: str = "id", prefix_len: int = 3,
+              first: str | None = None) -> DataFrame:
     """Dense 1-based ids by ``order`` within ``key`` (values of ``order`` distinct).
 
     The ordering is split by the first ``prefix_len`` characters (monotone in
-    string order), so no single task sees a whole key.
+    string order), so no single task sees a whole key.  ``first`` (a value of
+    ``order``) is put before all others, in its own bucket.
     """
     d = df.withColumn("_one", F.lit(1))
-    r = running_sum(d, [key], [order], ["_one"], bucket=F.substring(F.col(order), 1, prefix_len))
+    o = F.col(order)
+    if first is None:
+        r = running_sum(d, [key], [order], ["_one"], bucket=F.substring(o, 1, prefix_len))
+    else:
+        d = d.withColumn("_rest", (o != F.lit(first)).cast("int"))
+        bucket = F.when(o == F.lit(first), F.lit("")).otherwise(F.concat(F.lit("~"), F.substring(o, 1, prefix_len)))
+        r = running_sum(d, [key], ["_rest", order], ["_one"], bucket=bucket).drop("_rest")
     return r.withColumnRenamed("cum__one", out).drop("_one")
 
 
 def build_vocab(df: DataFrame, fields: Mapping[str, str], require: str | None = None,
                 miss_token: str = MISS_TOKEN) -> DataFrame:
-    """Distinct tokens of each field plus the miss token; ids dense from 1 in token order.
+    """Distinct tokens of each field plus the miss token; ids dense from 1.
 
+    The miss token has id 1 in every field (so lookups need no second pass
+    over the vocabulary to find it); the other tokens follow in token order.
     ``fields`` maps a field name to a scalar or array column.  Rows whose
     ``require`` column is null do not contribute.
     """
@@ -70,7 +80,8 @@ def build_vocab(df: DataFrame, fields: Mapping[str, str], require: str | None =
     spark = df.sparkSession
     miss = spark.createDataFrame([(f, miss_token) for f in fields], "field string, token string")
     distinct = pairs.union(miss).distinct()
-    return dense_ids(distinct, "field", "token").select("field", "token", F.col("id").cast("int").alias("id"))
+    return dense_ids(distinct, "field", "token", first=miss_token).select(
+        "field", "token", F.col("id").cast("int").alias("id"))
 
 
 def miss_ids(vocab: DataFrame, miss_token: str = MISS_TOKEN) -> DataFrame:
@@ -79,20 +90,24 @@ def miss_ids(vocab: DataFrame, miss_token: str = MISS_TOKEN) -> DataFrame:
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, spec: Mapping[str, tuple[str, str]],
-                  key: str, miss_token: str = MISS_TOKEN) -> DataFrame:
+                  key: str, miss_token: str = MISS_TOKEN, miss_id: int | None = None) -> DataFrame:
     """Replace tokens by ids; unknown tokens get the miss id; order is kept.
 
     ``spec`` maps an output column to ``(field, input column)``; the input may
     be a scalar or an array.  All columns go through one explode, one join with
     the vocabulary and one regroup by ``key`` (the row's unique key).
+    ``miss_id`` (1 for vocabularies from ``build_vocab``) saves looking the
+    miss token up in the vocabulary.
     """
     long = df.select(key, F.inline(F.concat(*[
         F.transform(_as_array(df, c, keep_null=True), _pos_tagger(out, f))
         for out, (f, c) in spec.items()])))
-    mids = F.broadcast(miss_ids(vocab, miss_token))
-    j = (long.join(vocab, ["field", "token"], "left")
-             .join(mids, "field", "left")
-             .select(key, "out", "pos", F.coalesce("id", "miss_id").alias("id")))
+    j = long.join(vocab, ["field", "token"], "left")
+    if miss_id is None:
+        j = j.join(F.broadcast(miss_ids(vocab, miss_token)), "field", "left")   # one row per field
+    else:
+        j = j.withColumn("miss_id", F.lit(miss_id))
+    j = j.select(key, "out", "pos", F.coalesce("id", "miss_id").alias("id"))
     g = j.groupBy(key).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("out") == out, F.struct("pos", "id")))).alias("_" + out)
         for out in spec])

@@ -46,7 +46,8 @@ def _tokens_sql(where: str, drop_station_null: bool) -> str:
 VOCAB_SQL = f"""
   {_tokens_sql(TRAIN, True)},
   vocab AS (
-    SELECT field, token, CAST(row_number() OVER (PARTITION BY field ORDER BY token) AS INTEGER) AS id
+    SELECT field, token, CAST(row_number() OVER (PARTITION BY field ORDER BY CASE WHEN token = 'Non' THEN 0 ELSE 1 END,
+                                                 token) AS INTEGER) AS id
     FROM (SELECT DISTINCT field, token FROM tok
           UNION SELECT f, 'Non' FROM (VALUES ('poi'), ('dept'), ('grid5'), ('grid6'), ('grid7'), ('driver')) v(f)))"""
 
@@ -59,7 +60,7 @@ def q_encode_tokens(spark, sf):
     spec = {"poi_ids": ("poi", "poi_id_sequence_app"), "g5_ids": ("grid5", "grid5_sequence_app"),
             "g6_ids": ("grid6", "grid6_sequence_app"), "g7_ids": ("grid7", "grid7_sequence_app"),
             "dept_id": ("dept", "grid_station_id"), "driver_id": ("driver", "driver_code")}
-    enc = vc.encode_tokens(test, vocab, spec, key="seq_id")
+    enc = vc.encode_tokens(test, vocab, spec, key="seq_id", miss_id=1)
     z = enc.select("seq_id", "dept_id", "driver_id",
                    F.posexplode(F.arrays_zip("poi_ids", "g5_ids", "g6_ids", "g7_ids")).alias("p", "z"))
     return z.select("seq_id", (F.col("p") + 1).alias("pos"), "dept_id", "driver_id",
