@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from wayline.llm import decontam
+from wayline.llm import decontam, neardup
 
 QUERIES = {
+    "op9_minhash_neardup": (neardup.op9_minhash_neardup, None),
     "op7_benchmark_decontamination": (decontam.op7_benchmark_decontamination, None),
 }
