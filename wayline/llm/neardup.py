@@ -11,9 +11,9 @@
 4. The share of equal registers, corrected for accidental register collisions,
    estimates the similarity; pairs five standard errors below the threshold go.
 5. What is left is verified on the full sets of the two texts.
-6. Keys whose members are still in different components after that are compared
-   across components, in blocks of bounded size, and again verified: no pair
-   that shares a band is lost because its pivot failed.
+6. Members of a key that are still in different components after that are
+   compared across components on their full sets, in blocks of bounded size: no
+   pair that shares a band is lost because its pivot failed.
 
 A link of similarity 0.8 shares no band with probability (1 - 0.8^5)^40 < 2e-7
 and fails the estimate with probability below 3e-7.
@@ -39,7 +39,7 @@ from wayline.llm.textcode import SPACE_WORDS, Words, chunks, mix, ngrams
 BANDS, ROWS = 40, 5
 MANTISSA = 10
 #: Members of a key that one task compares at a time in step 6.
-BLOCK = 1024
+BLOCK = 512
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def sketch(docs: DataFrame, id_col: str, text: str, k: int, bands: int, rows: in
 
 
 def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, doc): one row for each band of each class; key holds the band."""
+    """(key, band, doc): one row for each band of each class; key depends on the band."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -112,10 +112,10 @@ def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
                 for r in range(rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), bands))],
-                    names=["key", "doc"])
+                    [pa.array(key.ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int16), n)),
+                     pa.array(np.repeat(part.column(0).to_numpy(), bands))], names=["key", "band", "doc"])
 
-    return classes.select("doc", "sig").mapInArrow(run, "key long, doc long")
+    return classes.select("doc", "sig").mapInArrow(run, "key long, band short, doc long")
 
 
 def accidental(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -185,39 +185,87 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def _contested(members: DataFrame, comp: DataFrame, classes: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Likely pairs across components among the members of each key, compared in bounded blocks."""
+def _contested(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int,
+               bands: int, rows: int) -> DataFrame:
+    """Links between members of one key that are still in different components.
+
+    The members of a key are dealt into blocks of at most about ``BLOCK``; those
+    outside the key's largest component meet every block.  First the registers
+    alone tell which members have a likely partner elsewhere, then only these
+    are compared on their full sets.  A pair is compared in the first band it
+    shares; a block returns one link for each member and foreign component.
+    """
+    n, threshold = bands * rows, percent / 100
     low = _lowest(threshold, n)
     named = members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("comp"))
+        "key", "band", "doc", F.coalesce("component", "doc").alias("comp"))
     per = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    # the largest component of the key need not be compared with itself
     keys = per.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("comps"),
                                   F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
-    rows = named.join(keys, "key").select(
-        "key", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("minor"),
+    all_rows = named.join(keys, "key").select(
+        "key", "band", "doc", "comp", (F.col("comp") != F.col("top.comp")).alias("minor"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("nl"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("nr"))
     part = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
-    left = rows.select("key", "doc", "comp", F.lit(False).alias("right"), part("nl").alias("c"),
-                       F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("d"))
-    right = rows.where("minor").select("key", "doc", "comp", F.lit(True).alias("right"),
-                                       F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("c"), part("nr").alias("d"))
+    left = all_rows.select("key", "band", "doc", "comp", F.lit(False).alias("right"), part("nl").alias("c"),
+                           F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("d"))
+    right = all_rows.where("minor").select("key", "band", "doc", "comp", F.lit(True).alias("right"),
+                                           F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("c"), part("nr").alias("d"))
     blocks = left.union(right).join(classes.select("doc", "sig", F.col("n").alias("size")), "doc")
 
-    def run(t: pa.Table) -> pa.Table:
-        right = t.column("right").to_numpy(zero_copy_only=False)
-        doc, comp, size = (t.column(c).to_numpy() for c in ("doc", "comp", "size"))
+    def partners(t: pa.Table):
+        """(row of the right side, rows of the left side that may be linked with it)."""
+        is_right = t.column("right").to_numpy(zero_copy_only=False)
+        doc, group, size, band = (t.column(c).to_numpy() for c in ("doc", "comp", "size", "band"))
         regs = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype="<u2").reshape(-1, n)
-        lhs, out = np.flatnonzero(~right), []
-        for r in np.flatnonzero(right):
-            x = lhs[(comp[lhs] != comp[r]) & (np.minimum(size[lhs], size[r]) >= threshold * np.maximum(size[lhs], size[r]) - 1e-9)]
+        lhs = np.flatnonzero(~is_right)
+        for r in np.flatnonzero(is_right):
+            x = lhs[(group[lhs] != group[r]) & (np.minimum(size[lhs], size[r]) >= threshold * np.maximum(size[lhs], size[r]) - 1e-9)]
             if len(x):
-                x = x[estimate(regs[x], regs[r], size[x], np.full(len(x), size[r])) >= low]
-                out.append(np.stack([np.minimum(doc[x], doc[r]), np.maximum(doc[x], doc[r])]))
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
-
-    return blocks.groupBy("key", "c", "d").applyInArrow(run, "a long, b long").distinct()
+                same = regs[x] == regs[r]
+                c, g = same.mean(axis=1), accidental(size[x], np.full(len(x), size[r]))
+                first = same.reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == band[r]
+                x = x[((c - g) / (1 - g) >= low) & first]
+                if len(x):
+                    yield r, x, doc, group
+
+    def involved(t: pa.Table) -> pa.Table:
+        keep = np.zeros(t.num_rows, dtype=bool)
+        for r, x, _, _ in partners(t):
+            keep[r] = True
+            keep[x] = True
+        return t.filter(pa.array(keep))
+
+    likely_rows = written(blocks.groupBy("key", "c", "d").applyInArrow(involved, blocks.schema), "involved")
+    texts = docs.join(likely_rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    full = texts.mapInArrow(_sets_of(k), "doc long, full binary").dropDuplicates(["doc"])
+
+    def confirm(t: pa.Table) -> pa.Table:
+        full = [np.frombuffer(x, dtype=np.uint64) for x in t.column("full").to_pylist()]
+        out = []
+        for r, x, doc, group in partners(t):
+            own, many = full[r], np.concatenate([full[i] for i in x])
+            sizes = np.array([len(full[i]) for i in x])
+            at = np.minimum(np.searchsorted(own, many), len(own) - 1)
+            common = np.add.reduceat(own[at] == many, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            ok = x[100 * common >= percent * (sizes + len(own) - common)]
+            _, one = np.unique(group[ok], return_index=True)
+            out += [(int(doc[i]), int(doc[r])) for i in ok[one]]
+        return pa.table({"a": pa.array([a for a, _ in out], type=pa.int64()), "b": pa.array([b for _, b in out], type=pa.int64())})
+
+    links = written(likely_rows.join(full, "doc").groupBy("key", "c", "d").applyInArrow(confirm, "a long, b long"), "links")
+    drop_written(likely_rows)
+    return links
+
+
+def _sets_of(k: int):
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = shingle_sets(part.column(part.schema.get_field_index("text")), k)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index("doc_id")), pa.array([s.tobytes() for s in sets], type=pa.binary())],
+                    names=["doc", "full"])
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80,
@@ -234,15 +282,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keys = band_keys(classes, bands, rows)
     order = F.struct(F.xxhash64("key", "doc").alias("h"), F.col("doc").alias("doc"))
     shared = keys.groupBy("key").agg(F.min(order).alias("p"), F.count("*").alias("c")).where("c > 1")
-    members = written(keys.join(shared, "key").select("key", "doc", F.col("p.doc").alias("pivot")), "members")
+    members = written(keys.join(shared, "key").select("key", "band", "doc", F.col("p.doc").alias("pivot")), "members")
     star = members.where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
     done = written(likely(star, classes, threshold, n), "likely")
     links = verified(done, docs, k, percent)
     comp = components(links)
-    more = written(_contested(members, comp, classes, threshold, n).join(done, ["a", "b"], "left_anti"), "contested")
+    more = _contested(members, comp, classes, docs, k, percent, bands, rows)
     if not more.isEmpty():
-        comp = components(links.union(verified(more, docs, k, percent)))
-    for x in (members, done, more):
+        comp = components(links.union(more))
+    for x in (members, done):
         drop_written(x)
     of_class = classes.select("fp", F.col("doc").alias("node")).join(comp, "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component"))
