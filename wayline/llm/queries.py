@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wayline.llm import decontam, neardup
+from wayline.llm import decontam, neardup, substring
 
 QUERIES = {
     "op9_minhash_neardup": (neardup.op9_minhash_neardup, None),
+    "op4_substring_dedup": (substring.op4_substring_dedup, None),
     "op7_benchmark_decontamination": (decontam.op7_benchmark_decontamination, None),
 }
