@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wayline.llm import decontam, neardup, substring
+from wayline.llm import decontam, neardup, packing, substring
 
 QUERIES = {
     "op9_minhash_neardup": (neardup.op9_minhash_neardup, None),
     "op4_substring_dedup": (substring.op4_substring_dedup, None),
+    "op8_bestfit_packing": (packing.op8_bestfit_packing, None),
     "op7_benchmark_decontamination": (decontam.op7_benchmark_decontamination, None),
 }
