@@ -138,7 +138,7 @@ def _lowest(threshold: float, n: int) -> float:
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float, n: int) -> DataFrame:
     """Pairs (a, b) whose estimated similarity isn't clearly under the threshold."""
     side = lambda x: classes.select(F.col("doc").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
     low = _lowest(threshold, n)
 
     def run(batches):
@@ -163,8 +163,9 @@ def _word_set(text: str | None, k: int) -> frozenset:
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full sets satisfy 100 * intersection >= percent * union."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi"), "texts")
-    both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    # always a sorted join: the plan is the same at every size
+    texts = written(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
+    both = (pairs.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").hint("merge")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
             .select("a", "b", "ta", "tb"))
 
@@ -210,7 +211,7 @@ def _contested(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: Da
                            F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("d"))
     right = all_rows.where("minor").select("key", "band", "doc", "comp", F.lit(True).alias("right"),
                                            F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("c"), part("nr").alias("d"))
-    blocks = left.union(right).join(classes.select("doc", "sig", F.col("n").alias("size")), "doc")
+    blocks = left.union(right).hint("merge").join(classes.select("doc", "sig", F.col("n").alias("size")), "doc")
 
     def partners(t: pa.Table):
         """(row of the right side, rows of the left side that may be linked with it)."""
@@ -236,7 +237,7 @@ def _contested(members: DataFrame, comp: DataFrame, classes: DataFrame, docs: Da
         return t.filter(pa.array(keep))
 
     likely_rows = written(blocks.groupBy("key", "c", "d").applyInArrow(involved, blocks.schema), "involved")
-    texts = docs.join(likely_rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.join(likely_rows.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     full = texts.mapInArrow(_sets_of(k), "doc long, full binary").dropDuplicates(["doc"])
 
     def confirm(t: pa.Table) -> pa.Table:
