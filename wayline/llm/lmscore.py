@@ -39,7 +39,7 @@ from wayline.llm.textcode import SPACE_WORDS, Words, chunks, hash_spans
 STATES, ROUNDS = 6, 4
 TOP, SHARED, TAIL = 4096, 4096, 3
 #: Bytes of text in one block, and words that one matrix recursion holds.
-BLOCK_BYTES, MATRIX = 4 << 20, 65536
+BLOCK_BYTES, MATRIX = 4 << 20, 1 << 18
 
 BLOCK = "block long, ids array<long>, held array<boolean>, n array<int>, code binary, words array<binary>, counts array<long>"
 
@@ -100,15 +100,18 @@ class Hmm:
         self.emit = e / e.sum(axis=1, keepdims=True)
 
     def forward(self, x: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward variables (T, B, K), scales (T, B) and emissions of classes x (T, B)."""
+        """Scaled forward variables (T, B, K), scales (T, B) and emissions of classes x (T, B).
+
+        Texts stand by falling length, so those still running at a step are the first ones.
+        """
         e = self.emit.T[x]
-        a = np.empty_like(e)
+        a = np.zeros_like(e)
         scale = np.ones(x.shape)
-        for t in range(len(x)):
-            p = (self.start if t == 0 else a[t - 1] @ self.move) * e[t]
+        for t, m in enumerate(on.sum(axis=1).tolist()):
+            p = (self.start if t == 0 else a[t - 1, :m] @ self.move) * e[t, :m]
             s = p.sum(axis=1)
-            scale[t] = np.where(on[t], s, 1.0)
-            a[t] = np.where(on[t][:, None], p / s[:, None], a[t - 1] if t else 0)
+            scale[t, :m] = s
+            np.divide(p, s[:, None], out=a[t, :m])
         return a, scale, e
 
     def expected(self, x: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,13 +120,17 @@ class Hmm:
         k = len(self.start)
         b = np.ones((x.shape[1], k))
         move = np.zeros((k, k))
-        post = np.empty_like(a)
+        post = np.zeros_like(a)
+        back = self.move.T
+        running = on.sum(axis=1).tolist()
+        e /= scale[:, :, None]
         for t in range(len(x) - 1, -1, -1):
-            post[t] = a[t] * b * on[t][:, None]
+            m = running[t]
+            np.multiply(a[t, :m], b[:m], out=post[t, :m])
             if t:
-                nb = (e[t] * b / scale[t][:, None]) * on[t][:, None]
-                move += a[t - 1].T @ nb
-                b = np.where(on[t][:, None], nb @ self.move.T, b)
+                nb = e[t, :m] * b[:m]
+                move += a[t - 1, :m].T @ nb
+                b[:m] = nb @ back
         return post[0].sum(axis=0), move * self.move, post
 
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
@@ -172,8 +179,9 @@ def _gather(blocks: DataFrame, model, classes) -> DataFrame:
                     s, m, post = hmm.expected(x, on)
                     start += s
                     move += m
+                    at, weight = x[on], post[on]
                     for j in range(k):
-                        emit[j] += np.bincount(x[on], weights=post[:, :, j][on], minlength=cl.n)
+                        emit[j] += np.bincount(at, weights=weight[:, j], minlength=cl.n)
         flat = np.concatenate([start, move.ravel(), emit.ravel()])
         slot = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(flat[slot])], names=["slot", "v"])
