@@ -39,7 +39,7 @@ from wayline.llm.textcode import SPACE_WORDS, Words, chunks, hash_spans
 STATES, ROUNDS = 6, 4
 TOP, SHARED, TAIL = 4096, 4096, 3
 #: Bytes of text in one block, and words that one matrix recursion holds.
-BLOCK_BYTES, MATRIX = 4 << 20, 1 << 18
+BLOCK_BYTES, MATRIX = 16 << 20, 1 << 18
 
 BLOCK = "block long, ids array<long>, held array<boolean>, n array<int>, code binary, words array<binary>, counts array<long>"
 
@@ -163,30 +163,42 @@ def _block(batch: pa.RecordBatch, i: int):
     return np.frombuffer(get("code").as_py(), dtype="<i4"), n, np.array(get("held").as_py(), dtype=bool), get("words").as_py()
 
 
-def _gather(blocks: DataFrame, model, classes) -> DataFrame:
+def _classed(blocks: DataFrame, classes) -> DataFrame:
+    """The training texts of each block as class numbers: what the rounds read."""
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                code, n, held, words = _block(batch, i)
+                cls = classes.value.of(words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n[~held].tolist()], type=pa.list_(pa.int32())),
+                     pa.array([cls[code[np.repeat(~held, n)]].astype("<i2").tobytes()], type=pa.binary())], names=["n", "cls"])
+
+    return written(blocks.select("n", "held", "code", "words").mapInArrow(run, "n array<int>, cls binary"), "classed")
+
+
+def _gather(classed: DataFrame, model, kinds: int) -> DataFrame:
     """Expected counts of one round, summed over all tasks: rows (slot, v)."""
     def run(batches):
-        hmm, cl = model.value, classes.value
+        hmm = model.value
         k = len(hmm.start)
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, cl.n))
+        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, kinds))
         for batch in batches:
             for i in range(batch.num_rows):
-                code, n, held, words = _block(batch, i)
-                cls = cl.of(words)
-                own = np.flatnonzero(~held)
-                keep = np.repeat(~held, n)
-                for _, x, on in matrices(code[keep], n[own], cls):
+                n = np.array(batch.column(0)[i].as_py(), dtype=np.int64)
+                code = np.frombuffer(batch.column(1)[i].as_py(), dtype="<i2")
+                for _, x, on in matrices(code, n, np.arange(kinds)):
                     s, m, post = hmm.expected(x, on)
                     start += s
                     move += m
                     at, weight = x[on], post[on]
                     for j in range(k):
-                        emit[j] += np.bincount(at, weights=weight[:, j], minlength=cl.n)
+                        emit[j] += np.bincount(at, weights=weight[:, j], minlength=kinds)
         flat = np.concatenate([start, move.ravel(), emit.ravel()])
         slot = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(flat[slot])], names=["slot", "v"])
 
-    return blocks.select("n", "held", "code", "words").mapInArrow(run, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v"))
+    return classed.mapInArrow(run, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v"))
 
 
 def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -219,9 +231,10 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "te
     size[0, 0] = ends
     hmm = Hmm((size[0] + 0.5) / (size[0] + 0.5).sum(), states)
     k, g = states, classes.value.n
+    classed = _classed(blocks, classes)
     for _ in range(rounds if tokens else 0):
         model = spark.sparkContext.broadcast(hmm)
-        got = _gather(blocks, model, classes).toArrow()  # at most k + k * k + k * g rows
+        got = _gather(classed, model, g).toArrow()  # at most k + k * k + k * g rows
         flat = np.zeros(k + k * k + k * g)
         flat[got.column("slot").to_numpy()] = got.column("v").to_numpy()
         hmm.update(flat[:k], flat[k:k + k * k].reshape(k, k), flat[k + k * k:].reshape(k, g))
