@@ -52,6 +52,8 @@ def _lse_list(xs: list) -> Column:
 def _unrolled(eta: Column, logits: Column, x: Column, k: int, with_density: bool) -> Column:
     """The log-sum-exp of ``_log_terms`` with ``k`` known: plain scalar expressions
     (compiled by whole-stage code generation, unlike array lambdas)."""
+    fits = (F.size(eta) == k) & (F.size(logits) == k)
+    logits = F.when(fits, logits).otherwise(F.raise_error(F.lit(f"the model must have exactly {k} components")).cast("array<double>"))
     ls = [F.element_at(logits, i + 1) for i in range(k)]
     lse_l = _lse_list(ls)
     terms = []
@@ -140,18 +142,14 @@ def thresholded_accuracy(df: DataFrame, label: str = "label", p: str = "score",
                   .alias("accuracy"))
 
 
-def step_candidates(seqs: DataFrame, key: str, y: str, values: str, T: int) -> DataFrame:
+def step_candidates(seqs: DataFrame, key: str, y: str, values: str) -> DataFrame:
     """Long form ``(key, step, cand, value, valid, y)`` of a pointer problem.
 
-    Built from each row's own arrays (kept to the last ``T`` elements), so a
-    sequence yields at most T x T rows; no join between rows.  Step ``t``
+    Built from each row's own whole arrays; no join between rows.  Step ``t``
     (0-based) targets the candidate whose rank is ``t``; candidates already
     visited (rank < t) are invalid.
     """
-    from wayline.functions.sequence import keep_last
-    r = keep_last(F.col(y), T)
-    v = keep_last(F.col(values), T)
-    x = seqs.select(key, r.alias("_r"), v.alias("_v"))
+    x = seqs.where(F.size(y) > 0).select(key, F.col(y).alias("_r"), F.col(values).alias("_v"))
     x = x.select(key, "_r", "_v", F.explode(F.sequence(F.lit(0), F.size("_r") - 1)).alias("step"))
     x = x.select(key, "step", F.posexplode(F.arrays_zip("_r", "_v")).alias("cand", "z"))
     return x.select(key, "step", (F.col("cand") + 1).alias("cand"), F.col("z._v").alias("value"),

@@ -108,13 +108,11 @@ SELECT dt, oid, Xt, assignd, canceld, timeoutd, round(dist, 6) AS dist, round(ex
        round(exp(ld1) / (exp(ld1) + exp(ld2)), 9) AS w_d1, round({_nll_sql()}, 6) AS nll FROM p
 """
 
-T_STEPS = 20
-
 
 def step_scores(spark, sf):
     """F3 long form with a deterministic logit per (step, candidate)."""
     s = fx.sequences(spark, sf)
-    lf = so.step_candidates(s, "seq_id", "Y", "poi_id_sequence_app", T_STEPS)
+    lf = so.step_candidates(s, "seq_id", "Y", "poi_id_sequence_app")
     return lf.withColumn("logit", ((F.col("value").cast("bigint") * 7 + F.col("step") * 13) % 100) / F.lit(10.0))
 
 

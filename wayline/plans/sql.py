@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import string
 from dataclasses import dataclass
-from functools import reduce
+import functools
 from typing import Any, Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,21 +60,31 @@ def sql_template(spark: SparkSession, template: str, params: Mapping[str, Any] |
 
 
 def zip_batch(batch: Mapping[str, list], params: Mapping[str, Any] | None = None) -> list[dict]:
-    """One parameter dict per zipped tuple of ``batch`` (shortest list wins);
-    scalars in ``params`` go to every dict and win over a batch name they share."""
+    """One parameter dict per position of the batch's lists, as far as the shortest goes;
+    fixed ``params`` win over a batch name they share."""
     if not batch:
         raise ValueError("sql_batch needs a non-empty batch")
-    keys = list(batch.keys())
-    return [dict(dict(zip(keys, row)), **dict(params or {})) for row in zip(*batch.values())]
+    bad = [n for n in batch if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", n)]
+    if bad:
+        raise ValueError(f"bad parameter names {bad!r}")
+    tuples = []
+    for at in range(min(len(values) for values in batch.values())):
+        one = {name: values[at] for name, values in batch.items()}
+        one.update(params or {})
+        tuples.append(one)
+    return tuples
 
 
 def sql_batch(spark: SparkSession, template: str, batch: Mapping[str, list],
               params: Mapping[str, Any] | None = None, debug: bool = False) -> DataFrame:
-    """One query per zipped batch tuple, results concatenated by position (duplicates kept)."""
-    dfs = [sql_template(spark, template, p, debug) for p in zip_batch(batch, params)]
-    if not dfs:
+    """One query per batch tuple, results concatenated by position (duplicates kept)."""
+    out = None
+    for one in zip_batch(batch, params):
+        part = sql_template(spark, template, one, debug)
+        out = part if out is None else out.union(part)
+    if out is None:
         raise ValueError("the batch produced no parameter tuple")
-    return reduce(lambda a, b: a.union(b), dfs)
+    return out
 
 
 def batch_param_view(spark: SparkSession, batch: Mapping[str, list],
@@ -118,9 +128,12 @@ def udf(spark: SparkSession, return_type=T.DoubleType(), name: str | None = None
 
 
 def renamed(name: str, f: Callable) -> Callable:
-    """Give a function another name before registering it."""
-    f.__name__ = name
-    return f
+    """A function that does what ``f`` does under another name; ``f`` keeps its own."""
+    @functools.wraps(f)
+    def alias(*args, **kwargs):
+        return f(*args, **kwargs)
+    alias.__name__ = name
+    return alias
 
 
 # ---- SQL functions with SQL bodies (stay in Catalyst; no Python) -----------

@@ -17,8 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views with the driver's table names, for SQL templates."""
+    """Temp views of the named tables, for SQL templates; the path may be in any store Spark reads."""
     for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        if os.path.exists(p):
-            table(spark, sf_dir, n).createOrReplaceTempView(n)
+        table(spark, sf_dir, n).createOrReplaceTempView(n)
