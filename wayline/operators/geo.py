@@ -23,12 +23,12 @@ def hex_id(size: float, q: Column, r: Column) -> Column:
 def hex_layer(points: DataFrame, size: float, lng: str = "lng", lat: str = "lat") -> DataFrame:
     """Points per hex -> ``{HexID, center, polygeo, color, desc}`` records.
 
-    ``color`` is the ramp of ``n / max(n)``; the maximum is one aggregate
-    over the (much smaller) per-hex table, read back as a number.
+    ``color`` is the ramp of ``n / max(n)``; the maximum is a scalar subquery
+    over the per-hex table, whose exchange both uses share.
     """
     h = points.select(hex_axial(lng, lat, size).alias("h"))
     g = h.groupBy(F.col("h.q").alias("q"), F.col("h.r").alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    mx = g.agg(F.max("n")).first()[0] or 1
+    mx = g.agg(F.max("n").cast("double")).scalar()
     c = hex_center("q", "r", size)
     poly = hex_vertices("q", "r", size)
     return g.select(
@@ -36,7 +36,7 @@ def hex_layer(points: DataFrame, size: float, lng: str = "lng", lat: str = "lat"
         F.format_string("%.6f,%.6f", c["lng"], c["lat"]).alias("center"),
         F.array_join(F.transform(poly, lambda p: F.format_string("%.6f,%.6f", p["lng"], p["lat"])), ";")
          .alias("polygeo"),
-        color_ramp(F.col("n") / F.lit(float(mx))).alias("color"),
+        color_ramp(F.col("n") / mx).alias("color"),
         F.array(F.concat(F.lit("n="), F.col("n").cast("string"))).alias("desc"))
 
 
@@ -50,7 +50,7 @@ def hex_select(layer: DataFrame, text: str, sep: str = HEX_SELECT_SEPARATORS) ->
     spark = layer.sparkSession
     ids = spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", sep)).alias("HexID"))
     ids = ids.where(F.col("HexID") != "").distinct()
-    return layer.join(F.broadcast(ids), "HexID", "left_semi")
+    return layer.join(ids, "HexID", "left_semi")
 
 
 def marker_clusters(points: DataFrame, zoom: int, grid: int = CLUSTER_GRID_PX,
@@ -58,7 +58,7 @@ def marker_clusters(points: DataFrame, zoom: int, grid: int = CLUSTER_GRID_PX,
     """Grid clusters of ``grid`` pixels at ``zoom``: count, centre, hue and size.
 
     Hue ``180 - 180 (n/N)^(1/18)``, size ``round(30 + 20 (n/N)^(1/5))`` with
-    N the number of points (one counted scalar).
+    N the number of points (the sum over the clusters, a scalar subquery).
     """
     p = points.where(F.col(lng).isNotNull() & F.col(lat).isNotNull())
     px = world_pixel(lng, lat, zoom)
@@ -66,8 +66,7 @@ def marker_clusters(points: DataFrame, zoom: int, grid: int = CLUSTER_GRID_PX,
                     F.floor(px["y"] / F.lit(float(grid))).cast("bigint").alias("cy"), lng, lat)
     g = cell.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.avg(lng).alias("center_lng"),
                                      F.avg(lat).alias("center_lat"))
-    total = float(p.count())
-    share = F.col("n") / F.lit(total)
+    share = F.col("n") / g.agg(F.sum("n").cast("double")).scalar()
     return g.select("cx", "cy", "n", "center_lng", "center_lat",
                     (F.lit(180.0) - F.lit(180.0) * F.pow(share, 1 / 18)).alias("hue"),
                     F.round(F.lit(30.0) + F.pow(share, 1 / 5) * F.lit(20.0)).cast("int").alias("size"))

@@ -107,19 +107,18 @@ def kl_divergence(df: DataFrame, side: str = "side", key: str = "key") -> DataFr
     """KL(P||Q) and KL(Q||P) between the category frequencies of side 0 (P) and side 1 (Q).
 
     Divides by the true counts of each side.  ``p = 0`` adds 0; ``q = 0 < p``
-    gives +infinity.  One aggregation by (key, side), then a per-key pivot.
+    gives +infinity; null where a side has no rows.  One aggregation by key,
+    then one over the keys: with counts a of A and b of B, the sum of
+    a/A ln((a/A) / (b/B)) is (sum of a ln(a/b)) / A + ln(B/A).
     """
     c = df.groupBy(key).agg(F.count_if(F.col(side) == 0).alias("a"),
                             F.count_if(F.col(side) == 1).alias("b"))
-    t = df.agg(F.count_if(F.col(side) == 0).alias("na"), F.count_if(F.col(side) == 1).alias("nb")).first()
-    tot = c
-    p = F.col("a") / F.lit(float(t["na"]))
-    q = F.col("b") / F.lit(float(t["nb"]))
-    inf = F.lit(float("inf"))
-
-    def term(x, y):
-        return F.when(x == 0, F.lit(0.0)).when(y == 0, inf).otherwise(x * F.ln(x / y))
-    return tot.agg(F.sum(term(p, q)).alias("kl_pq"), F.sum(term(q, p)).alias("kl_qp"))
+
+    def divergence(x, y):
+        a, b = F.col(x), F.col(y)
+        term = F.when(a == 0, F.lit(0.0)).when(b == 0, F.lit(float("inf"))).otherwise(a * F.ln(a / b))
+        return F.try_divide(F.sum(term), F.sum(a)) + F.ln(F.try_divide(F.sum(b), F.sum(a)))
+    return c.agg(divergence("a", "b").alias("kl_pq"), divergence("b", "a").alias("kl_qp"))
 
 
 def variational_bounds(df: DataFrame, side: str = "side", score: str = "score") -> DataFrame:

@@ -1,131 +1,181 @@
-"""Tree-ensemble scoring and per-feature attribution compiled to column expressions.
+"""Tree-ensemble scoring and per-feature attribution.
 
-A model is a small table of nodes.  It is read once (its size is checked)
-and turned into nested ``CASE`` expressions, so scoring is a projection:
-no join, no shuffle, and it runs inside whole-stage code generation.
+A model is a table of nodes, laid out as flat arrays: one entry for each node
+of each tree, leaves pointing at themselves.  Rows walk all trees by index, so
+neither the plan nor the generated code grows with the model, and there is no
+join and no shuffle:
+
+* scores: the arrays are literals of one native expression;
+* attributions: the arrays travel with the task and whole Arrow batches walk a
+  tree one level at a time, adding the value change of each edge to the feature
+  that was tested there.
+
+Values: missing is below ``MISSING_BELOW`` and goes to the node's default side; a
+null value goes right; a category is the value cut to an integer.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from dataclasses import dataclass
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values
 MISSING_BELOW = -1e-35     # a feature value below this is missing
-MAX_MODEL_NODES = 200_000  # guard: models larger than this are not compiled
-
-
-def read_model(nodes: DataFrame) -> dict:
-    """Nodes by tree: ``{tree_index: {node_id: row}}``; the size is checked first."""
-    n = nodes.count()
-    if n > MAX_MODEL_NODES:
-        raise ValueError(f"model has {n} nodes; more than {MAX_MODEL_NODES} are not compiled")
-    trees: dict = defaultdict(dict)
-    for r in nodes.collect():
-        trees[int(r["tree_index"])][int(r["node_id"])] = r.asDict()
-    return dict(trees)
-
-
-def _go_left(node: dict, feats: Sequence[Column]) -> Column:
-    v = feats[int(node["split_feature"])].cast("double")
-    missing = v < F.lit(MISSING_BELOW)
-    if node["decision_type"] == "==":
-        allowed = [int(t) for t in str(node["threshold"]).split("||")]
-        test = v.cast("int").isin(allowed)
-    elif node["decision_type"] == "<=":
-        test = ~(v > F.lit(float(node["threshold"])))
-    else:
-        raise ValueError(f"unknown decision_type {node['decision_type']}")
-    return F.when(missing, F.lit(bool(node["default_left"]))).otherwise(test)
-
-
-def _walk(tree: dict, node_id: int, feats, leaf_fn) -> Column:
-    node = tree[node_id]
-    if node.get("split_feature") is None:
-        return leaf_fn(node)
-    return F.when(_go_left(node, feats), _walk(tree, int(node["left_child"]), feats, leaf_fn)) \
-            .otherwise(_walk(tree, int(node["right_child"]), feats, leaf_fn))
-
-
-def _root(tree: dict) -> int:
-    children = {int(n[c]) for n in tree.values() for c in ("left_child", "right_child")
-                if n.get(c) is not None}
-    roots = [i for i in tree if i not in children]
-    if len(roots) != 1:
-        raise ValueError("a tree must have exactly one root")
-    return roots[0]
 
 
-def leaf_columns(model: dict, feats: Sequence[Column]) -> list[Column]:
-    """Per tree, the leaf index reached by the row."""
-    return [_walk(t, _root(t), feats, lambda n: F.lit(int(n["leaf_index"]))).alias(f"leaf_{i}")
-            for i, t in sorted(model.items())]
-
-
-def tree_score(df: DataFrame, model: dict, features: Sequence[str], num_class: int = 1,
+@dataclass
+class Model:
+    """Nodes of all trees end to end; a leaf is its own left and right child."""
+
+    trees: list[int]              # tree index of each root
+    roots: np.ndarray
+    feature: np.ndarray           # -1 at leaves
+    threshold: np.ndarray
+    categories: list[str]         # "|1|3|" where the test is membership, else ""
+    default_left: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray             # leaf value (score)
+    level: np.ndarray             # node value before shrinkage (attribution)
+    depth: int
+
+
+def read_model(nodes: DataFrame) -> Model:
+    """The node table as flat arrays (one pass over the model, which its trainer sized)."""
+    t = nodes.toArrow().to_pandas().sort_values(["tree_index", "node_id"], ignore_index=True)
+    place = {k: i for i, k in enumerate(zip(t.tree_index.astype(int), t.node_id.astype(int)))}
+    n = len(t)
+    inner = t.split_feature.notna().to_numpy()
+    unknown = set(t.decision_type[inner]) - {"<=", "=="}
+    if unknown:
+        raise ValueError(f"unknown decision_type {sorted(map(str, unknown))}")
+    member = inner & (t.decision_type == "==").to_numpy()
+    own = np.arange(n)
+
+    def child(c: str) -> np.ndarray:
+        return np.array([place[int(k), int(x)] if i else o for k, x, i, o in zip(t.tree_index, t[c].fillna(-1), inner, own)],
+                        dtype=np.int64)
+
+    left, right = child("left_child"), child("right_child")
+    is_child = np.zeros(n, dtype=bool)
+    is_child[left[inner]] = is_child[right[inner]] = True
+    roots = np.flatnonzero(~is_child)
+    trees = t.tree_index.to_numpy()[roots].astype(int).tolist()
+    if trees != sorted(set(t.tree_index.astype(int))):
+        raise ValueError("a tree must have exactly one root")
+    depth, front = 0, roots[inner[roots]]
+    while len(front):
+        depth += 1
+        if depth > n:
+            raise ValueError("a tree must not have cycles")
+        front = np.concatenate([left[front], right[front]])
+        front = front[inner[front]]
+    number = lambda c: t[c].astype(float).fillna(0.0).to_numpy()
+    return Model(
+        trees, roots, np.where(inner, t.split_feature.fillna(-1), -1).astype(np.int64),
+        np.array([float(x) if i and not m else 0.0 for x, i, m in zip(t.threshold, inner, member)]),
+        ["|" + "|".join(str(int(c)) for c in str(x).split("||")) + "|" if m else "" for x, m in zip(t.threshold, member)],
+        t.default_left.eq(True).to_numpy(), left, right, number("leaf_value"),
+        np.where(inner, number("internal_value"), number("leaf_value") / np.where(inner, 1.0, number("shrinkage"))), depth)
+
+
+def _literal(values, kind: str) -> Column:
+    """A constant array, folded to one literal by the optimizer whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _walker(model: Model):
+    """(values of a row, root) -> leaf, as a column function."""
+    feature, left, right = (_literal(x.tolist(), "int") for x in (model.feature, model.left, model.right))
+    threshold = _literal(map(repr, model.threshold.tolist()), "double")
+    default = _literal(model.default_left.astype(int).tolist(), "int")
+    member = _literal([int(bool(c)) for c in model.categories], "int")
+    categories = F.split(F.lit(",".join(model.categories)), ",")
+    levels = _literal(range(model.depth), "int")
+
+    def go(values: Column):
+        def step(node: Column, _: Column) -> Column:
+            # leaves point at themselves; feature -1 would be no index
+            v = values[F.greatest(feature[node], F.lit(0))]
+            cut = F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).try_cast("bigint")
+            wanted = F.concat(F.lit("|"), cut.cast("string"), F.lit("|"))
+            test = F.when(v < F.lit(MISSING_BELOW), default[node] == 1) \
+                .when(member[node] == 1, F.instr(categories[node], wanted) > 0).otherwise(~(v > threshold[node]))
+            return F.when(F.coalesce(test, F.lit(False)), left[node]).otherwise(right[node])
+        return lambda root: F.aggregate(levels, root, step) if model.depth else root
+    return go
+
+
+def _total(walk, value: Column, roots: Column):
+    def total(values: Column) -> Column:
+        to_leaf = walk(values)
+        return F.aggregate(roots, F.lit(0.0), lambda acc, r: acc + value[to_leaf(r)])
+    return total
+
+
+def tree_score(df: DataFrame, model: Model, features: Sequence[str], num_class: int = 1,
                prefix: str = "score_") -> DataFrame:
     """Class score = sum of the leaf values of trees with ``tree_index mod num_class``."""
-    feats = [F.col(c) for c in features]
-    sums: dict = defaultdict(list)
-    for i, t in sorted(model.items()):
-        sums[i % num_class].append(_walk(t, _root(t), feats, lambda n: F.lit(float(n["leaf_value"]))))
+    walk, value = _walker(model), _literal(map(repr, model.value.tolist()), "double")
+    row = F.array(*[F.col(c).cast("double") for c in features])
     cols = []
     for k in range(num_class):
-        e = F.lit(0.0)
-        for x in sums.get(k, []):
-            e = e + x
-        cols.append(e.alias(f"{prefix}{k}"))
+        roots = [int(r) for t, r in zip(model.trees, model.roots) if t % num_class == k]
+        if not roots:
+            cols.append(F.lit(0.0).alias(f"{prefix}{k}"))
+            continue
+        # one-element transform: the row's values are made once, not at every step
+        cols.append(F.transform(F.array(row), _total(walk, value, _literal(roots, "int")))[0].alias(f"{prefix}{k}"))
     return df.select("*", *cols)
 
 
-def _path_gains(tree: dict) -> dict:
-    """For each leaf: ``{feature: gain}`` summed along its path.
-
-    Gains are ``next value - node value`` with the leaf value divided by
-    the tree's shrinkage.
-    """
-    out = {}
-
-    def rec(nid, path):
-        n = tree[nid]
-        if n.get("split_feature") is None:
-            vals = [tree[p]["internal_value"] for p in path] + [n["leaf_value"] / n["shrinkage"]]
-            g: dict = defaultdict(float)
-            for i, p in enumerate(path):
-                g[int(tree[p]["split_feature"])] += vals[i + 1] - vals[i]
-            out[nid] = dict(g)
-            return
-        rec(int(n["left_child"]), path + [nid])
-        rec(int(n["right_child"]), path + [nid])
-    rec(_root(tree), [])
-    return out
-
-
-def tree_attribution(df: DataFrame, model: dict, features: Sequence[str],
+def tree_attribution(df: DataFrame, model: Model, features: Sequence[str],
                      prefix: str = "contrib_") -> DataFrame:
     """Per row and feature: the sum over trees of the value changes along the row's path."""
-    feats = [F.col(c) for c in features]
-    per_feature: dict = defaultdict(list)
-    for i, t in sorted(model.items()):
-        gains = _path_gains(t)
-        for f in range(len(features)):
-            per_feature[f].append(_walk(t, _root(t), feats,
-                                        lambda n, f=f, gains=gains: F.lit(float(gains[_leaf_id(t, n)].get(f, 0.0)))))
-    cols = []
-    for f, name in enumerate(features):
-        e = F.lit(0.0)
-        for x in per_feature[f]:
-            e = e + x
-        cols.append(e.alias(prefix + name))
-    total = F.lit(0.0)
-    for c in cols:
-        total = total + c
-    out = df.select("*", *cols)
-    return out.withColumn(prefix + "total", sum((F.col(prefix + n) for n in features), F.lit(0.0)))
-
-
-def _leaf_id(tree: dict, node: dict) -> int:
-    return int(node["node_id"])
+    width, n = len(features), len(df.columns)
+    keys = np.array(sorted((i << 33) + int(c) for i, x in enumerate(model.categories) for c in x.split("|") if c), dtype=np.int64)
+    member = np.array([bool(c) for c in model.categories], dtype=bool)
+
+    def contributions(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), width))
+        rows = np.arange(len(x))
+        for root in model.roots:
+            at = np.full(len(x), root)
+            for _ in range(model.depth):
+                f = model.feature[at]
+                live = f >= 0
+                if not live.any():
+                    break
+                f = np.maximum(f, 0)
+                v = x[rows, f]
+                go_left = v <= model.threshold[at]
+                m = np.flatnonzero(member[at] & live)
+                if len(m):
+                    cut = np.trunc(v[m])
+                    fits = np.abs(cut) < 2**31  # false for null
+                    key = (at[m].astype(np.int64) << 33) + np.where(fits, cut, 0).astype(np.int64)
+                    go_left[m] = fits & np.isin(key, keys)
+                go_left = np.where(v < MISSING_BELOW, model.default_left[at], go_left)
+                to = np.where(go_left, model.left[at], model.right[at])
+                out[rows, f] += np.where(live, model.level[to] - model.level[at], 0.0)
+                at = to
+        return out
+
+    names = [prefix + f for f in features] + [prefix + "total"]
+    schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in names])
+
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(n + i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)])
+            c = contributions(x)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(n)] + [pa.array(c[:, i]) for i in range(width)] + [pa.array(c.sum(axis=1))],
+                names=schema.names)
+
+    return df.select("*", *[F.col(c).cast("double").alias(f"_value{i}") for i, c in enumerate(features)]).mapInArrow(run, schema)

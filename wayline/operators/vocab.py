@@ -12,6 +12,7 @@ from typing import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.operators.ordered import running_sum
 
@@ -141,17 +142,35 @@ def encode_oov_buckets(df: DataFrame, vocab: DataFrame, col: str, field: str, n_
                        out: str | None = None) -> DataFrame:
     """Token -> id of a list vocabulary (ids from 0); unknown -> ``V + md5 mod n_oov``.
 
-    ``V`` (the vocabulary size) is one counted scalar, used as a literal.
-    Works for scalar columns; arrays go through ``encode_tokens``.
+    ``V``, the vocabulary size, is a scalar subquery.  A null token takes the
+    bucket of the empty text.  For scalar columns; ``encode_oov_lists`` takes lists.
     """
     out = out or col + "_id"
+    if isinstance(df.schema[col].dataType, T.ArrayType):
+        raise TypeError(f"{col} is a list: use encode_oov_lists")
     v = vocab.where(F.col("field") == field)
-    size = v.count()
+    size = v.agg(F.count("*")).scalar()
     j = df.join(v.select(F.col("token").alias("_tok"), F.col("id").alias("_id")),
                 F.col(col).cast("string") == F.col("_tok"), "left")
     return j.select(*df.columns,
-                    F.coalesce(F.col("_id").cast("bigint"),
-                               F.lit(size).cast("bigint") + md5_bucket(F.col(col), n_oov)).alias(out))
+                    F.coalesce(F.col("_id").cast("bigint"), size + md5_bucket(
+                        F.coalesce(F.col(col).cast("string"), F.lit("")), n_oov)).alias(out))
+
+
+def encode_oov_lists(df: DataFrame, vocab: DataFrame, col: str, field: str, n_oov: int, key: str,
+                     out: str | None = None) -> DataFrame:
+    """``encode_oov_buckets`` for each element of a list column; order and length are kept.
+
+    ``key`` is the rows' unique key.  An empty list stays empty and a null list
+    null; a null element takes the bucket of the empty text.
+    """
+    out = out or col + "_ids"
+    long = df.select(key, F.posexplode(col).alias("_pos", "_token"))
+    ids = encode_oov_buckets(long, vocab, "_token", field, n_oov, "_id")
+    lists = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_ids"))
+    empty = F.when(F.col(col).isNotNull(), F.array().cast("array<bigint>"))
+    return df.join(lists, key, "left").select(
+        *[df[c] for c in df.columns], F.coalesce(F.col("_ids")["_id"], empty).alias(out))
 
 
 def vocab_miss_report(df: DataFrame, vocab: DataFrame, fields: Mapping[str, str], key: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from wayline import fixtures as fx
 from wayline.operators import vocab as vc
 from wayline.plans.oracle_fixtures import OUTCOMES, POINTS, seq_long
+from wayline.plans.q_geo import SQL_HEX_LAYER
 from wayline.plans.q_vocab import MISS_FIELDS, SQL_BUILD_VOCAB, SQL_SPLIT_BY_COVERAGE, SQL_VALUE_COUNTS, TEST, \
     train_vocab
 from wayline.session import scratch_path
@@ -139,17 +140,18 @@ SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS label, l_quantity AS f0, l_discount
 def _json_array_file(df, path):
     """Write rows as one JSON array text file (the map pages read arrays).
 
-    The first record (smallest text) is found by one aggregate, not by
-    numbering all rows; only the final single-file write is one task, as the
-    array format requires.
+    Brackets are lines of their own and an empty array has only them.  Equal
+    records are counted, so exactly one record (the first copy of the smallest
+    text) has no comma before it; only the final single-file write is one task,
+    as the array format requires.
     """
-    js = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
-    first = js.agg(F.min("j")).first()[0]
-    lines = js.select(F.concat(F.when(F.col("j") == F.lit(first), F.lit("[")).otherwise(F.lit(",")),
-                               F.col("j")).alias("value"), F.col("j").alias("_o"))
-    spark = df.sparkSession
-    end = spark.createDataFrame([("]", "\uffff")], "value string, _o string")
-    lines.union(end).orderBy("_o").select("value").coalesce(1).write.text(path)
+    texts = df.select(F.to_json(F.struct(*df.columns)).alias("j")).groupBy("j").agg(F.count("*").alias("n"))
+    lines = texts.select(F.lit(1).alias("part"), "j", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
+    first = texts.agg(F.min("j")).scalar()
+    comma = F.when((F.col("j") == first) & (F.col("i") == 1), F.lit("")).otherwise(F.lit(","))
+    ends = df.sparkSession.createDataFrame([(0, "[", 0, "["), (2, "]", 0, "]")], "part int, j string, i bigint, value string")
+    (lines.withColumn("value", F.concat(comma, "j")).union(ends).repartitionByRange("part", "j", "i")
+     .sortWithinPartitions("part", "j", "i").coalesce(1).sortWithinPartitions("part", "j", "i").select("value").write.text(path))
 
 
 def q_scan_points_csv(spark, sf):
@@ -158,13 +160,13 @@ def q_scan_points_csv(spark, sf):
     p = fx.points(spark, sf)
     line = F.when(F.col("seq") % 100 == 0, F.lit("")).otherwise(
         F.concat_ws(",", F.format_string("%.5f", "lng"), F.format_string("%.5f", "lat"), F.col("title")))
-    p.orderBy("seq").select(line.alias("value")).coalesce(1).write.text(path)
+    p.orderBy("seq").select(line.alias("value")).write.text(path)  # many files, in order of their names
     return rd.scan_points_csv(spark, path)
 
 
 SQL_SCAN_POINTS_CSV = f"""
 WITH points AS ({POINTS}),
-o AS (SELECT *, row_number() OVER (ORDER BY seq) AS ordinal FROM points)
+o AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS ordinal FROM points)
 SELECT ordinal, CASE WHEN seq % 100 = 0 THEN NULL ELSE CAST(printf('%.5f', lng) AS DOUBLE) END AS lng,
        CASE WHEN seq % 100 = 0 THEN NULL ELSE CAST(printf('%.5f', lat) AS DOUBLE) END AS lat,
        CASE WHEN seq % 100 <> 0 AND title IS NOT NULL THEN title ELSE CAST(ordinal AS VARCHAR) END AS title
@@ -288,7 +290,7 @@ QUERIES = {
     "scan_svmlight": (q_scan_svmlight, SQL_SCAN_SVMLIGHT),
     "scan_points_csv": (q_scan_points_csv, SQL_SCAN_POINTS_CSV),
     "scan_cases_json": (q_scan_cases_json, SQL_SCAN_CASES_JSON),
-    "scan_hex_json": (q_scan_hex_json, None),
+    "scan_hex_json": (q_scan_hex_json, f"SELECT HexID, color, \"desc\" FROM ({SQL_HEX_LAYER})"),
     "vocab_round_trip": (q_vocab_round_trip, SQL_VOCAB_ROUND_TRIP),
     "value_counts_csv": (q_value_counts_csv, SQL_VALUE_COUNTS),
     "write_split": (q_write_split, SQL_SPLIT_BY_COVERAGE),

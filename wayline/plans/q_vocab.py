@@ -8,7 +8,9 @@ from wayline import fixtures as fx
 from wayline.functions import sequence as sq
 from wayline.operators import sequence as so
 from wayline.operators import vocab as vc
+from wayline.operators.ordered import running_sum
 from wayline.plans.oracle_fixtures import seq_long
+from wayline.sources.tables import table
 
 # The F3 train / test rules
 TRAIN = "l_orderkey % 5 <> 0 AND l_orderkey % 41 < 37 AND l_partkey % 20 <> 19"
@@ -131,18 +133,52 @@ FROM (SELECT DISTINCT seq_id FROM ttok) s LEFT JOIN bad b ON b.seq_id = s.seq_id
 
 
 def q_encode_oov_buckets(spark, sf):
-    """User ids against a list vocabulary (every third customer left out), 4 OOV buckets."""
-    from wayline.sources.tables import table
-    cust = table(spark, sf, "customer").where(F.col("c_custkey") % 3 != 0) \
-        .select(F.lit("user").alias("field"), F.col("c_custkey").cast("string").alias("token"),
-                F.col("c_custkey"))
-    from pyspark.sql import Window
-    vocab = cust.select("field", "token", (F.row_number().over(
-        Window.partitionBy("field").orderBy("c_custkey")) - 1).cast("int").alias("id"))
+    """User ids against a list vocabulary, 4 OOV buckets.
+
+    Every third customer is held out of the vocabulary, so that there are misses.
+    """
+    vocab = _key_vocab(table(spark, sf, "customer"), "c_custkey", "user")
     out = fx.outcomes(spark, sf).select("oid", "user_id")
     return vc.encode_oov_buckets(out, vocab, "user_id", "user", 4, out="user_ix")
 
 
+def _key_vocab(df, key: str, field: str):
+    """List vocabulary of two thirds of the keys, in key order; numbered in stretches of 10,000 keys."""
+    keys = df.where(F.col(key) % 3 != 0).select(key, F.lit(1).alias("one"))
+    n = running_sum(keys, [], [key], ["one"], bucket=F.floor(F.col(key) / 10_000))
+    return n.select(F.lit(field).alias("field"), F.col(key).cast("string").alias("token"), (F.col("cum_one") - 1).cast("int").alias("id"))
+
+
+def q_encode_oov_lists(spark, sf):
+    """Part ids of each order (a list) against a list vocabulary, one OOV bucket; every third part is held out."""
+    vocab = _key_vocab(table(spark, sf, "part"), "p_partkey", "part")
+    s = fx.sequences(spark, sf).select("seq_id", "poi_id_sequence_app")
+    e = vc.encode_oov_lists(s, vocab, "poi_id_sequence_app", "part", 1, "seq_id", out="ids")
+    return e.select("seq_id", F.posexplode("ids").alias("p", "part_ix")).select("seq_id", (F.col("p") + 1).alias("pos"), "part_ix")
+
+
+SQL_ENCODE_OOV_LISTS = f"""
+WITH sl AS ({seq_long()}),
+     v AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS id FROM part WHERE p_partkey % 3 <> 0),
+     n AS (SELECT count(*) AS V FROM v)
+SELECT sl.seq_id, CAST(sl.pos AS INTEGER) AS pos, CAST(coalesce(v.id, n.V) AS BIGINT) AS part_ix
+FROM sl CROSS JOIN n LEFT JOIN v ON v.p_partkey = sl.l_partkey
+"""
+
+
+def q_encode_weekday(spark, sf):
+    """Weekday of each order (Sunday is 0) against the fixed list '0' to '7', one OOV bucket."""
+    vocab = vc.list_vocab(spark, range(8), "weekday")
+    o = table(spark, sf, "orders").select("o_orderkey", (F.dayofweek(F.to_date("o_orderdate")) - 1).alias("weekday"))
+    return vc.encode_oov_buckets(o, vocab, "weekday", "weekday", 1, out="weekday_ix")
+
+
+SQL_ENCODE_WEEKDAY = """
+SELECT o_orderkey, CAST(dayofweek(CAST(o_orderdate AS DATE)) AS INTEGER) AS weekday,
+       CAST(dayofweek(CAST(o_orderdate AS DATE)) AS BIGINT) AS weekday_ix FROM orders
+"""
+
+
 SQL_ENCODE_OOV_BUCKETS = """
 WITH v AS (SELECT CAST(c_custkey AS VARCHAR) AS token,
                   row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer WHERE c_custkey % 3 <> 0),
@@ -196,8 +232,8 @@ SELECT 0::BIGINT AS grid5_len_diff, CAST(count_if(k % 31 = 0) AS BIGINT) AS grid
 FROM o
 """
 
-T_SHORT = 5
-T_MATRIX = 20
+# Fixed value: steps of the sequence model
+T_STEPS = 59
 
 
 def _pad_grid_sql(T: int) -> str:
@@ -210,12 +246,12 @@ def _pad_grid_sql(T: int) -> str:
 
 def q_pad_sequence(spark, sf):
     s = fx.sequences(spark, sf)
-    return s.select("seq_id", F.posexplode(sq.pad_sequence("reach_minute_sequence_real", T_SHORT))
+    return s.select("seq_id", F.posexplode(sq.pad_sequence("reach_minute_sequence_real", T_STEPS))
                     .alias("t", "v")).select("seq_id", (F.col("t") + 1).alias("t"), "v")
 
 
 SQL_PAD_SEQUENCE = f"""
-WITH {_pad_grid_sql(T_SHORT)}
+WITH {_pad_grid_sql(T_STEPS)}
 SELECT gx.seq_id, CAST(gx.t AS INTEGER) AS t, coalesce(sl.l_linenumber, 0) AS v
 FROM gx LEFT JOIN sl ON sl.seq_id = gx.seq_id AND sl.pos = gx.ix
 """
@@ -223,12 +259,12 @@ FROM gx LEFT JOIN sl ON sl.seq_id = gx.seq_id AND sl.pos = gx.ix
 
 def q_log1p_sequence(spark, sf):
     s = fx.sequences(spark, sf)
-    return s.select("seq_id", F.posexplode(sq.log1p_sequence("pcs_sequence_app", T_SHORT))
+    return s.select("seq_id", F.posexplode(sq.log1p_sequence("pcs_sequence_app", T_STEPS))
                     .alias("t", "v")).select("seq_id", (F.col("t") + 1).alias("t"), F.round("v", 6).alias("v"))
 
 
 SQL_LOG1P_SEQUENCE = f"""
-WITH {_pad_grid_sql(T_SHORT)}
+WITH {_pad_grid_sql(T_STEPS)}
 SELECT gx.seq_id, CAST(gx.t AS INTEGER) AS t,
        round(ln(1 + coalesce(CAST(trunc(sl.l_quantity + CASE WHEN sl.seq_id % 2 = 1 THEN 0.5e0 ELSE 0e0 END)
                                   AS INTEGER), 0)), 6) AS v
@@ -238,23 +274,23 @@ FROM gx LEFT JOIN sl ON sl.seq_id = gx.seq_id AND sl.pos = gx.ix
 
 def q_one_hot_positions(spark, sf):
     s = fx.sequences(spark, sf)
-    m = s.select("seq_id", F.posexplode(sq.one_hot_positions("Y", T_SHORT)).alias("i", "row"))
-    e = m.select("seq_id", "i", F.posexplode("row").alias("j", "x")).where(F.col("x") == 1)
+    m = s.select("seq_id", F.posexplode(sq.one_hot_positions("Y", T_STEPS)).alias("i", "row"))
+    e = m.where(F.array_contains("row", 1)).select("seq_id", "i", F.posexplode("row").alias("j", "x")).where(F.col("x") == 1)
     return e.select("seq_id", (F.col("i") + 1).alias("i"), F.col("j").alias("j"))
 
 
 SQL_ONE_HOT_POSITIONS = f"""
 WITH sl AS ({seq_long()})
-SELECT seq_id, CAST(CASE WHEN len > {T_SHORT} THEN pos - (len - {T_SHORT}) ELSE pos END AS INTEGER) AS i,
+SELECT seq_id, CAST(CASE WHEN len > {T_STEPS} THEN pos - (len - {T_STEPS}) ELSE pos END AS INTEGER) AS i,
        CAST(y_rank AS INTEGER) AS j
 FROM sl
-WHERE (CASE WHEN len > {T_SHORT} THEN pos - (len - {T_SHORT}) ELSE pos END) >= 1 AND y_rank < {T_SHORT}
+WHERE (CASE WHEN len > {T_STEPS} THEN pos - (len - {T_STEPS}) ELSE pos END) >= 1 AND y_rank < {T_STEPS}
 """
 
 
 def q_pad_matrix(spark, sf):
     s = fx.sequences(spark, sf)
-    m = sq.pad_matrix("earth_dist", T_MATRIX)
+    m = sq.pad_matrix("earth_dist", T_STEPS)
     return s.select("seq_id", F.size(m).alias("n_rows"),
                     F.size(F.element_at(m, 1)).alias("n_cols"),
                     F.aggregate(F.flatten(m), F.lit(0.0), lambda a, x: a + x).alias("total"))
@@ -262,7 +298,7 @@ def q_pad_matrix(spark, sf):
 
 SQL_PAD_MATRIX = f"""
 WITH a AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem)
-SELECT x.k AS seq_id, {T_MATRIX} AS n_rows, {T_MATRIX + 1} AS n_cols,
+SELECT x.k AS seq_id, {T_STEPS} AS n_rows, {T_STEPS + 1} AS n_cols,
        CAST(sum(abs(x.p - y.p)) + (SELECT sum(p) FROM a z WHERE z.k = x.k) AS DOUBLE) AS total
 FROM a x JOIN a y ON x.k = y.k GROUP BY x.k
 """
@@ -285,6 +321,8 @@ QUERIES = {
     "vocab_miss_report": (q_vocab_miss_report, SQL_VOCAB_MISS_REPORT),
     "split_by_coverage": (q_split_by_coverage, SQL_SPLIT_BY_COVERAGE),
     "encode_oov_buckets": (q_encode_oov_buckets, SQL_ENCODE_OOV_BUCKETS),
+    "encode_oov_lists": (q_encode_oov_lists, SQL_ENCODE_OOV_LISTS),
+    "encode_weekday": (q_encode_weekday, SQL_ENCODE_WEEKDAY),
     "value_counts": (q_value_counts, SQL_VALUE_COUNTS),
     "max_sequence_length": (q_max_sequence_length, SQL_MAX_SEQUENCE_LENGTH),
     "sequence_lengths": (q_sequence_lengths, SQL_SEQUENCE_LENGTHS),

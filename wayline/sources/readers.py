@@ -56,7 +56,7 @@ def scan_with_defaults(spark: SparkSession, path: str, schema: T.StructType,
     for f in schema.fields:
         c = F.col(f.name)
         d = defaults.get(f.name, None)
-        if d is Required or d is Required():
+        if d is Required or isinstance(d, Required):
             c = F.coalesce(c, F.raise_error(F.lit(f"required column {f.name} is missing")).cast(f.dataType))
         elif isinstance(d, (list, tuple)):
             c = F.coalesce(c, F.array(*[F.lit(x) for x in d]).cast(f.dataType))
@@ -96,21 +96,24 @@ def scan_svmlight(spark: SparkSession, path: str) -> DataFrame:
     return p.select("r.label", "r.features")
 
 
-def with_ordinal(df: DataFrame, out: str = "ordinal") -> DataFrame:
-    """Dense 1-based row ordinal in scan order, without a single-partition window.
+def numbered_lines(spark: SparkSession, path: str, out: str = "ordinal") -> DataFrame:
+    """Lines of text files with their 0-based number over all files, in order of file path and line.
 
-    ``monotonically_increasing_id`` carries the partition index in its upper
-    bits; a per-partition count and its prefix give the offsets.
+    Lines are numbered within the block of the file that one scan split reads;
+    the counts of earlier blocks, one row for each block, are added.  Which
+    task reads a block, and when, makes no difference.
     """
-    d = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_one", F.lit(1))
-    r = running_sum(d, [], ["_mid"], ["_one"], bucket=F.shiftright("_mid", 33))
-    return r.withColumnRenamed("cum__one", out).drop("_mid", "_one")
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    d = spark.read.text(path).select("value", block.alias("_block"), F.monotonically_increasing_id().alias("_mid"),
+                                     F.lit(1).alias("_one"))
+    r = running_sum(d, [], ["_mid"], ["_one"], bucket=F.col("_block"))
+    return r.select("value", (F.col("cum__one") - 1).alias(out))
 
 
 def scan_points_csv(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``lng,lat[,title]``; an empty line gives a null point; the title
-    defaults to the row's 1-based ordinal in the file."""
-    t = with_ordinal(spark.read.text(path), "ordinal")
+    defaults to the line's 0-based number over all files."""
+    t = numbered_lines(spark, path)
     parts = F.split(F.col("value"), ",")
     empty = F.trim(F.col("value")) == ""
     title = F.try_element_at(parts, F.lit(3))

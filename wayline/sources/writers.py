@@ -67,19 +67,15 @@ def write_partitions(df: DataFrame, path: str, partition_cols, fmt: str = "parqu
                      spread: int | None = None) -> None:
     """Dynamic-partition overwrite: only partitions present in ``df`` are replaced.
 
-    Rows are first shuffled by the partition columns so each output folder
-    gets its files from one task (not one small file per task per folder).
-    ``spread`` > 1 adds a salt, so a hot partition is written by that many
-    tasks (and files) instead of one.
+    Rows are first rebalanced by the partition columns: small folders get one
+    file, and AQE splits a hot partition into several tasks by its measured
+    size.  ``spread`` > 1 adds a salt on top, for a fixed number of files.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     cols = [F.col(c) for c in partition_cols]
     if spread and spread > 1:
         cols.append(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(spread)))
-    try:
-        (df.repartition(*cols).write.mode("overwrite").partitionBy(*partition_cols)
-           .format(fmt).save(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        df = df.repartition(*cols)
+    else:
+        df = df.hint("rebalance", *partition_cols)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*partition_cols).format(fmt).save(path))
