@@ -88,32 +88,6 @@ def encode_polylines(points: DataFrame, trip: str = "trip", order=("ts", "seq"))
                                  lambda s: s["_t"]), "").alias("text"))
 
 
-def decode_numbers(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Add ``_nums``: the numbers of each text, in order (array<bigint>).
-
-    Each intermediate array is its own projection step, so it is computed
-    once per row (not re-evaluated inside every lambda).
-    """
-    v = df.select(*keep, F.transform(F.filter(F.split(F.col(text), ""), lambda c: c != ""),
-                                     lambda c: F.instr(F.lit(CODE_TABLE), c) - 1).alias("_vals"))
-    n = F.size("_vals")
-    e = v.select(*keep, "_vals", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                          lambda i: (i <= n) & (F.try_element_at(F.col("_vals"), i) < 32))
-                 .alias("_ends"))
-    sp = e.select(*keep, "_vals", F.arrays_zip(
-        F.transform("_ends", lambda x, j: F.when(j == 0, F.lit(1))
-                    .otherwise(F.element_at(F.col("_ends"), j) + 1)).alias("s"),
-        F.col("_ends").alias("e")).alias("_spans"))
-    return sp.select(*keep, F.transform("_spans", lambda se: F.aggregate(
-        F.slice(F.col("_vals"), se["s"], se["e"] - se["s"] + 1), F.struct(
-            F.lit(0).cast("bigint").alias("acc"), F.lit(0).alias("k")),
-        lambda st, d: F.struct(
-            (st["acc"] + _shl((d - F.when(st["k"] < se["e"] - se["s"], F.lit(32)).otherwise(F.lit(0)))
-                              .cast("bigint"), (st["k"] * 5).cast("int"))).alias("acc"),
-            (st["k"] + 1).alias("k")),
-        lambda st: st["acc"])).alias("_nums"))
-
-
 def unpair(e: Column) -> tuple[Column, Column]:
     """Inverse of ``pair_index``: (x, y), with a +-1 correction of the float square root."""
     w0 = F.floor((F.sqrt(e.cast("double") * 8 + 1) - 1) / 2).cast("bigint")

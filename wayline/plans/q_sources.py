@@ -150,8 +150,8 @@ def _json_array_file(df, path):
     first = texts.agg(F.min("j")).scalar()
     comma = F.when((F.col("j") == first) & (F.col("i") == 1), F.lit("")).otherwise(F.lit(","))
     ends = df.sparkSession.createDataFrame([(0, "[", 0, "["), (2, "]", 0, "]")], "part int, j string, i bigint, value string")
-    (lines.withColumn("value", F.concat(comma, "j")).union(ends).repartitionByRange("part", "j", "i")
-     .sortWithinPartitions("part", "j", "i").coalesce(1).sortWithinPartitions("part", "j", "i").select("value").write.text(path))
+    (lines.withColumn("value", F.concat(comma, "j")).union(ends).repartition(1)
+     .sortWithinPartitions("part", "j", "i").select("value").write.text(path))
 
 
 def q_scan_points_csv(spark, sf):
