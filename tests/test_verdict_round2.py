@@ -43,3 +43,11 @@ def test_required_column_fails(spark, tmp_path):
     for need in (rd.Required, rd.Required()):
         with pytest.raises(Exception, match="required column a"):
             rd.scan_with_defaults(spark, path, schema, {"a": need}).collect()
+
+
+def test_neighbours_over_the_180th_meridian(spark):
+    from wayline.operators.nearby import nearby_stats
+    left = spark.createDataFrame([("a", 179.999, 0.0), ("b", -179.9995, 0.0), ("c", 0.0, 0.0)], "oid string, lng double, lat double")
+    right = spark.createDataFrame([(-179.999, 0.0), (179.9995, 0.0)], "lng double, lat double")
+    got = {r.oid: r.n_cars for r in nearby_stats(left, right, 500.0).collect()}
+    assert got == {"a": 2, "b": 2, "c": 0}

@@ -41,11 +41,15 @@ def nearby_stats(left: DataFrame, right: DataFrame, r_m: float, key: str = "oid"
     rng = range(-k, k + 1)
     offs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in rng for b in rng
                      if (max(abs(a) - 1, 0) * clat) ** 2 + (max(abs(b) - 1, 0) * clat) ** 2 <= dlat ** 2])
-    rc = right.select(F.col(lng).alias("_rlng"), F.col(lat).alias("_rlat"),
-                      F.radians(lat).alias("_p2"), F.radians(lng).alias("_l2"),
-                      F.cos(F.radians(lat)).alias("_c2"),
-                      F.floor(F.col(lng) / F.lit(clng)).cast("bigint").alias("_rx"),
-                      F.floor(F.col(lat) / F.lit(clat)).cast("bigint").alias("_ry"))
+    # a point close to the 180th meridian also lies 360 degrees to its other side
+    turns = F.array_compact(F.array(F.lit(0.0), F.when(F.col(lng) > F.lit(180 - dlng), F.lit(-360.0)),
+                                    F.when(F.col(lng) < F.lit(dlng - 180), F.lit(360.0))))
+    rc = right.select(lng, lat, F.explode(turns).alias("_turn")).select(
+        (F.col(lng) + F.col("_turn")).alias("_rlng"), F.col(lat).alias("_rlat"),
+        F.radians(lat).alias("_p2"), F.radians(lng).alias("_l2"),
+        F.cos(F.radians(lat)).alias("_c2"),
+        F.floor((F.col(lng) + F.col("_turn")) / F.lit(clng)).cast("bigint").alias("_rx"),
+        F.floor(F.col(lat) / F.lit(clat)).cast("bigint").alias("_ry"))
     rc = rc.select("*", F.explode(offs).alias("_o")).select(
         "_rlng", "_rlat", "_p2", "_l2", "_c2",
         (F.col("_rx") + F.col("_o.a")).alias("_cx"), (F.col("_ry") + F.col("_o.b")).alias("_cy"))
@@ -55,6 +59,8 @@ def nearby_stats(left: DataFrame, right: DataFrame, r_m: float, key: str = "oid"
     a_max = math.sin(r_m / (2 * EARTH_RADIUS_M)) ** 2 * (1 + 1e-12)
     box = (F.abs(F.col("_lat") - F.col("_rlat")) <= F.lit(dlat)) & \
           (F.abs(F.col("_lng") - F.col("_rlng")) <= F.lit(dlng))
+    if dlng >= 180:  # a whole circle of latitude: each point once, on its shorter side
+        box = box & (F.col("_rlng") - F.col("_lng") > -180) & (F.col("_rlng") - F.col("_lng") <= 180)
     d = F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
     # spread the probe side by cell: a sort-merge join reuses this partitioning,
     # a broadcast join gets one task per slice of cells instead of one per input file

@@ -232,6 +232,7 @@ def q_encode_points(spark, sf):
     return e.select("trip", "seq", "ilat", "ilng", "index", "code")
 
 
+# Fixed value in the text: the 64-character code table of the path format
 _ENC = f"""
   points AS ({POINTS}),
   r AS (SELECT trip, seq, ts, CAST(round(lat * 100000e0) AS BIGINT) AS ilat, CAST(round(lng * 100000e0) AS BIGINT) AS ilng
