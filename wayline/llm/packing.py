@@ -28,6 +28,8 @@ table gives no rows; other columns play no part.
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -39,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from wayline.llm.common import table, written
-from wayline.llm.textcode import chunks
+from wayline.llm.textcode import buffer_of, chunks, hash_spans
 
 SIZE = 2048
 END = 0
@@ -48,36 +50,110 @@ GROUPS = 128
 SMALL = 8
 #: Slices of a length that are ranked apart.
 SLICES = 64
-#: Different pre-tokens whose ids a task keeps.
+#: Different pre-tokens whose ids a worker keeps.
 CACHE = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@functools.lru_cache
+def _kinds() -> np.ndarray:
+    """Kind of each code point in the vocabulary's split: 0 white space, 1 letter, 2 number, 3 any other."""
+    import regex
+    out = np.full(0x110000, 3, dtype=np.uint8)
+    whole = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, rule in enumerate((r"\s", r"\p{L}", r"\p{N}")):
+        out[np.frombuffer("".join(regex.findall(rule, whole)).encode("utf-32-le"), dtype="<u4")] = kind
+    return out
+
+
+def split(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """First bytes of the pre-tokens of UTF-8 texts that lie end to end in ``buf`` (text i begins at ``offs[i]``).
+
+    The split is ``public_tokenizers.PATTERN``: contractions; runs of letters, of
+    numbers or of others, each with one space before it; white space, whose last
+    character stands alone before a word.
+    """
+    if not len(buf):
+        return np.zeros(0, dtype=np.int64)
+    code = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+    at = np.flatnonzero((buf & 0xC0) != 0x80)  # first byte of each character
+    kind = _kinds()[code]
+    n = len(code)
+    text = np.zeros(n + 1, dtype=bool)
+    text[np.searchsorted(at, offs)] = True
+    text[n] = True
+    run = text.copy()  # where a run of one kind begins
+    run[1:n] |= kind[1:] != kind[:-1]
+    white = kind == 0
+    after_space = np.zeros(n, dtype=bool)
+    after_space[1:] = (code[:-1] == 0x20) & ~text[1:n]
+    first = run[:n] & (white | ~after_space)
+    first |= white & run[1:] & ~text[1:]  # the last white space before a word
+    quote = np.flatnonzero((code == 0x27) & run[:n] & run[1:] & ~after_space & ~text[1:])
+    if len(quote):
+        end = np.append(code, np.zeros(2, dtype=code.dtype))
+        same = np.append(~run[1:], False)  # the next character goes on with the same run
+        one, two = end[quote + 1], end[quote + 2]
+        short = np.isin(one, [0x73, 0x74, 0x6D, 0x64])
+        long = (((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)) & same[quote + 1]
+        for hit, size in ((quote[short], 1), (quote[long], 2)):
+            first[hit + 1] = False
+            rest = hit + 1 + size
+            first[rest[rest < n]] = True
+    return at[first]
+
+
 class WordEncoder:
-    """Ids by ``tokenizers``, each different pre-token of the vocabulary's own split encoded once."""
+    """Ids by ``tokenizers``: each different pre-token is encoded once, all others are looked up by a 64-bit hash.
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    Two of a worker's words share a hash with probability below 1e-8.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their names in a text are ordinary text
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}  # little-endian ids
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        for t in texts:
-            words = self.split(t)
-            new = list(set(words).difference(known))
-            if new:
-                known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in
-                             zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)))
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4"))
-        return out
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # by hash
+        self.ids, self.first = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)  # ids of all rows; where each begins
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        rows = np.arange(len(ids)) + len(self.first) - 1
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=int(n.sum()))])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.row = np.insert(self.keys, place, keys), np.insert(self.row, place, rows)
+
+    def encode(self, col: pa.Array) -> list[np.ndarray]:
+        buf, offs = buffer_of(col)
+        start = split(buf, offs[:-1][np.diff(offs) > 0])
+        if not len(start):
+            return [np.zeros(0, dtype="<u4")] * len(col)
+        size = np.diff(np.append(start, len(buf)))
+        keys, at, word = np.unique(hash_spans(buf, start, size), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
+            self.clear()
+        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
+        if len(new):
+            data = buf.tobytes()
+            self._learn(keys[new], [data[i:i + n].decode() for i, n in zip(start[at[new]].tolist(), size[at[new]].tolist())])
+        row = self.row[np.searchsorted(self.keys, keys)][word]
+        count = self.first[row + 1] - self.first[row]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.repeat(self.first[row] - upto[:-1], count) + np.arange(upto[-1])]
+        cut = upto[np.searchsorted(start, offs)]
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process: later tasks find the words of earlier ones."""
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, id_col: str, text: str, vocabulary: str, size: int) -> DataFrame:
@@ -86,12 +162,12 @@ def pieces(docs: DataFrame, id_col: str, text: str, vocabulary: str, size: int)
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import public_tokenizers as P
-        encoder = WordEncoder(P.path(vocabulary), P.PATTERN)
+        words = encoder(P.path(vocabulary))
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids = part.column(0).to_pylist()
                 rows = []
-                for d, seq in zip(ids, encoder.encode([t or "" for t in part.column(1).to_pylist()])):
+                for d, seq in zip(ids, words.encode(part.column(1))):
                     seq = np.append(seq, np.uint32(END)).astype("<u4")
                     n = len(seq)
                     cuts = [0, *range(n % size or size, n, size), n]
