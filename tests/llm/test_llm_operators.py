@@ -276,3 +276,39 @@ def test_pipeline(spark, sf):
     leaked = {x[0] for x in decontam.brute_force([tuple(r) for r in docs.select("doc_id", "text").collect()],
                                                  [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]) if x[5]}
     assert ids and not ids & leaked
+
+
+def test_packing_split_is_the_vocabularys_own():
+    import public_tokenizers
+    import pyarrow as pa
+    import regex
+
+    from wayline.llm.textcode import buffer_of
+
+    r = random.Random(1)
+    letters = ["'", "'", *"strevmlda1S!_", "é", "²", "½", " ", " ", "\n", "\t", " ", " ", "\x1c", "\x00", "”", "日", "😀"]
+    for _ in range(2000):
+        texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 4))]
+        buf, offs = buffer_of(pa.array(texts))
+        start = packing.split(buf, offs[:-1][np.diff(offs) > 0]).tolist()
+        got = [buf[a:b].tobytes().decode() for a, b in zip(start, [*start[1:], len(buf)])]
+        assert got == [w for t in texts for w in regex.findall(public_tokenizers.PATTERN, t)]
+
+
+def test_packing_ids_are_the_tokenizers_own():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    texts = ["<|endoftext|> 's 'll", "", None, "x" * 5000, " \n \n  a'REa're ", "été 日本 don't  stop"]
+    for _ in range(2):  # new words, then known ones
+        got = packing.encoder(path).encode(pa.array(texts))
+        assert [g.tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_lm_packed_numbers():
+    for x in (np.zeros(0, dtype="<i4"), np.array([0, 1, -1, 2**31 - 1], dtype="<i4"), np.arange(-300, 300, dtype="<i2")):
+        assert lmscore.unpacked(lmscore.packed(x), len(x), x.dtype.str).tolist() == x.tolist()

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm.common import fold_part, table, written
+from wayline.llm.common import drop_written, fold_part, table, written
 from wayline.llm.textcode import SPACE_WORDS, Words, chunks, hash_spans
 
 STATES, ROUNDS = 6, 4
@@ -44,6 +44,20 @@ BLOCK_BYTES, MATRIX = 16 << 20, 1 << 18
 BLOCK = "block long, ids array<long>, held array<boolean>, n array<int>, code binary, words array<binary>, counts array<long>"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: small numbers leave the upper planes zero."""
+    return pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    """The ``n`` numbers of :func:`packed`."""
+    kind = np.dtype(kind)
+    if not n:
+        return np.zeros(0, dtype=kind)
+    planes = np.frombuffer(pa.decompress(data, n * kind.itemsize, codec="zstd"), dtype=np.uint8).reshape(kind.itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """Blocks of (id, held, text) rows: words once, texts as indices of words."""
     def run(batches):
@@ -52,11 +66,15 @@ def encode(docs: DataFrame) -> DataFrame:
             for part in chunks(batch, "text", BLOCK_BYTES):
                 w = Words(part.column(2), SPACE_WORDS, True)
                 h = w.hashes()
-                _, first, code = np.unique(h, return_index=True, return_inverse=True)
+                _, first, code, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")  # frequent words get small numbers, which pack well
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                first, code = first[order], rank[code]
                 held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 counts = np.bincount(code[~held[w.doc]], minlength=len(first)) if len(code) else np.zeros(0, dtype=np.int64)
                 row = {"block": [seq], "ids": [part.column(0).to_pylist()], "held": [held.tolist()], "n": [w.counts.tolist()],
-                       "code": [code.astype("<i4").tobytes()], "words": [[w.word(i) for i in first]], "counts": [counts.tolist()]}
+                       "code": [packed(code.astype("<i4"))], "words": [[w.word(i) for i in first]], "counts": [counts.tolist()]}
                 yield pa.RecordBatch.from_pydict(row, schema=pa.schema([
                     ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())),
                     ("code", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]))
@@ -160,7 +178,7 @@ def matrices(code: np.ndarray, n: np.ndarray, cls: np.ndarray):
 def _block(batch: pa.RecordBatch, i: int):
     get = lambda c: batch.column(batch.schema.get_field_index(c))[i]
     n = np.array(get("n").as_py(), dtype=np.int64)
-    return np.frombuffer(get("code").as_py(), dtype="<i4"), n, np.array(get("held").as_py(), dtype=bool), get("words").as_py()
+    return unpacked(get("code").as_py(), int(n.sum()), "<i4"), n, np.array(get("held").as_py(), dtype=bool), get("words").as_py()
 
 
 def _classed(blocks: DataFrame, classes) -> DataFrame:
@@ -172,7 +190,7 @@ def _classed(blocks: DataFrame, classes) -> DataFrame:
                 cls = classes.value.of(words)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n[~held].tolist()], type=pa.list_(pa.int32())),
-                     pa.array([cls[code[np.repeat(~held, n)]].astype("<i2").tobytes()], type=pa.binary())], names=["n", "cls"])
+                     pa.array([packed(cls[code[np.repeat(~held, n)]].astype("<i2"))], type=pa.binary())], names=["n", "cls"])
 
     return written(blocks.select("n", "held", "code", "words").mapInArrow(run, "n array<int>, cls binary"), "classed")
 
@@ -186,7 +204,7 @@ def _gather(classed: DataFrame, model, kinds: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 n = np.array(batch.column(0)[i].as_py(), dtype=np.int64)
-                code = np.frombuffer(batch.column(1)[i].as_py(), dtype="<i2")
+                code = unpacked(batch.column(1)[i].as_py(), int(n.sum()), "<i2")
                 for _, x, on in matrices(code, n, np.arange(kinds)):
                     s, m, post = hmm.expected(x, on)
                     start += s
@@ -238,6 +256,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "te
         flat = np.zeros(k + k * k + k * g)
         flat[got.column("slot").to_numpy()] = got.column("v").to_numpy()
         hmm.update(flat[:k], flat[k:k + k * k].reshape(k, k), flat[k + k * k:].reshape(k, g))
+    drop_written(classed)
     final = spark.sparkContext.broadcast((hmm, np.log10(size[0] + size[1] + 1)))
     # the counts of a block's words, in one row: as many as the block has words
     known = (listed.select("block", "pos", F.col("w.words").alias("word")).join(vocab, "word").groupBy("block")
