@@ -143,21 +143,25 @@ USER_COLUMNS = ["ord_num", "ord_cancel_num", "min_cancel_xt", "avg_cancel_xt", "
 
 
 def embedding_lookup(df: DataFrame, ids: str, table: DataFrame, key: str, out: str,
-                     id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+                     id_col: str = "vec_id", vec: str = "embedding", dim: int | None = None) -> DataFrame:
     """id (or list of ids) -> vector; a list is averaged element-wise per row.
 
     Ids are exploded and joined with the embedding table (broadcast only if
-    AQE measures it small), then vectors are averaged by position per row.
+    AQE measures it small); vectors stay whole and are averaged by one
+    aggregate per position, with map-side partial sums.  Without ``dim`` the
+    longest vector's length is read from the table.  Null components are left
+    out of their position's average; a row none of whose ids is found has null.
     """
+    if dim is None:
+        dim = table.agg(F.max(F.size(vec))).first()[0] or 0
     t = df.schema[ids].dataType.typeName()
     arr = F.col(ids) if t == "array" else F.array(F.col(ids))
     x = df.select(key, F.explode(arr).alias("_id"))
-    j = x.join(table.select(F.col(id_col).alias("_id"), F.col(vec).alias("_v")), "_id")
-    p = j.select(key, F.posexplode("_v").alias("_i", "_x"))
-    a = p.groupBy(key, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    v = a.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_s"))
-    v = v.select(key, F.transform("_s", lambda s: s["_m"]).alias(out))
-    return df.join(v, key, "left")
+    j = x.join(table.select(F.col(id_col).alias("_id"), F.col(vec).alias("_v")).where(F.size("_v") > 0), "_id")
+    means = [F.avg(F.get("_v", F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(dim)]
+    a = j.groupBy(key).agg(F.max(F.size("_v")).alias("_n"), *means)
+    every = F.array(*[F.col(f"_m{i}") for i in range(dim)]) if dim else F.array().cast("array<double>")
+    return df.join(a.select(key, F.slice(every, F.lit(1), F.col("_n")).alias(out)), key, "left")
 
 
 def sum_embeddings(cols: Sequence[str], concat_cols: Sequence[str] = ()) -> "F.Column":

@@ -60,6 +60,31 @@ FROM f LEFT JOIN h ON h.user_id = f.user_id
 """
 
 
+def q_indicator_defaults(spark, sf):
+    """A customer without orders lacks the order indicators (default 1); a nation without suppliers lacks its own (default 0)."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("ord_num"), F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("max_part"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(
+        F.max(F.when(F.col("s_acctbal") > 9000, F.col("s_acctbal"))).alias("top_bal"))
+    j = (table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+         .join(fe.null_indicators(o, ["ord_num", "max_part"]), "c_custkey", "left")
+         .join(fe.null_indicators(s, ["top_bal"]), "c_nationkey", "left"))
+    names = ["null_ord_num", "null_max_part", "null_top_bal"]
+    d = fe.indicator_defaults(j, names[:2], names[2:])
+    return d.select("c_custkey", *[F.col(c).cast("bigint").alias(c) for c in names])
+
+
+SQL_INDICATOR_DEFAULTS = """
+WITH o AS (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS p FROM orders GROUP BY 1),
+s AS (SELECT s_nationkey, max(CASE WHEN s_acctbal > 9000 THEN s_acctbal END) AS b FROM supplier GROUP BY 1)
+SELECT c_custkey,
+       CAST(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END AS BIGINT) AS null_ord_num,
+       CAST(CASE WHEN o_custkey IS NULL OR p IS NULL THEN 1 ELSE 0 END AS BIGINT) AS null_max_part,
+       CAST(CASE WHEN s_nationkey IS NULL THEN 0 WHEN b IS NULL THEN 1 ELSE 0 END AS BIGINT) AS null_top_bal
+FROM customer LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN s ON s_nationkey = c_nationkey
+"""
+
+
 def q_user_history(spark, sf):
     h = fe.user_history(fx.outcomes(spark, sf), "user_id")
     return h.select(*[F.round(c, 6).alias(c) if c.startswith("avg") else F.col(c) for c in h.columns])
@@ -239,6 +264,7 @@ WHERE EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id = a.vec_id + 1)
 QUERIES = {
     "label_vector": (q_label_vector, SQL_LABEL_VECTOR),
     "null_indicators": (q_null_indicators, SQL_NULL_INDICATORS),
+    "indicator_defaults": (q_indicator_defaults, SQL_INDICATOR_DEFAULTS),
     "user_history": (q_user_history, SQL_USER_HISTORY),
     "scalar_functions": (q_scalar_functions, SQL_SCALAR_FUNCTIONS),
     "assemble_features": (q_assemble_features, SQL_ASSEMBLE_FEATURES),

@@ -193,6 +193,27 @@ SELECT gx, gy, seq, CAST(rank AS INTEGER) AS rank FROM (
 """
 
 
+#: A cell and a marker on the page, in pixels.
+CELL_PX, MARKER_PX = 40, 20
+
+
+def q_top_n_per_cell_auto(spark, sf):
+    """The number of points shown in a cell follows from the room that cell and marker take."""
+    cells = fx.points(spark, sf).select("seq", F.floor(F.col("lng") / F.lit(0.02)).cast("bigint").alias("gx"),
+                                        F.floor(F.col("lat") / F.lit(0.02)).cast("bigint").alias("gy"))
+    n = og.auto_top_n(CELL_PX ** 2, MARKER_PX ** 2)
+    return og.top_n_per_group(cells, ["gx", "gy"], ["seq"], n).select("gx", "gy", "seq", "rank")
+
+
+SQL_TOP_N_PER_CELL_AUTO = f"""
+WITH points AS ({POINTS}),
+c AS (SELECT seq, CAST(floor(lng / 0.02e0) AS BIGINT) AS gx, CAST(floor(lat / 0.02e0) AS BIGINT) AS gy FROM points)
+SELECT gx, gy, seq, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY gx, gy ORDER BY seq) AS rank FROM c)
+WHERE rank <= greatest(3, ceil(1.5e0 * {CELL_PX} * {CELL_PX} / ({MARKER_PX} * {MARKER_PX})))
+"""
+
+
 def q_color_ramp(spark, sf):
     e = fx.points(spark, sf)
     return e.select("seq", g.color_ramp(F.col("acc") / F.lit(100.0)).alias("color"))
@@ -278,6 +299,7 @@ QUERIES = {
     "marker_clusters": (q_marker_clusters, SQL_MARKER_CLUSTERS),
     "heat_grid": (q_heat_grid, SQL_HEAT_GRID),
     "top_n_per_cell": (q_top_n_per_cell, SQL_TOP_N_PER_CELL),
+    "top_n_per_cell_auto": (q_top_n_per_cell_auto, SQL_TOP_N_PER_CELL_AUTO),
     "color_ramp": (q_color_ramp, SQL_COLOR_RAMP),
     "nearby_stats": (q_nearby_stats, SQL_NEARBY_STATS),
     "encode_points": (q_encode_points, SQL_ENCODE_POINTS),

@@ -45,16 +45,22 @@ def q_sql_semi_anti(spark, sf):
 SQL_SEMI_ANTI = SEMI_ANTI.format(prio="'1-URGENT'", st="'P'")
 
 # Band join written as an equi-join on a balance bucket plus the neighbour
-# bucket, so it shuffles on the bucket instead of comparing every pair.
+# buckets.  Both sides are first counted per balance: the pairs that are tested
+# grow with the different balances of a band, not with the rows that share them.
 NONEQUI = """
-WITH s AS (
-  SELECT s_suppkey, s_acctbal, b
-  FROM supplier LATERAL VIEW explode(array(CAST(floor(s_acctbal / {w}) AS BIGINT) - 1,
-                                           CAST(floor(s_acctbal / {w}) AS BIGINT),
-                                           CAST(floor(s_acctbal / {w}) AS BIGINT) + 1)) t AS b)
-SELECT s.s_suppkey, count(c.c_custkey) AS n_close
-FROM s LEFT JOIN customer c
-  ON CAST(floor(c.c_acctbal / {w}) AS BIGINT) = s.b AND abs(c.c_acctbal - s.s_acctbal) <= {w}
+WITH c AS (
+  SELECT c_acctbal, CAST(floor(c_acctbal / {w}) AS BIGINT) AS b, count(*) AS n
+  FROM customer WHERE c_custkey IS NOT NULL GROUP BY c_acctbal),
+s AS (
+  SELECT s_acctbal, explode(sequence(CAST(floor(s_acctbal / {w}) AS BIGINT) - 1,
+                                     CAST(floor(s_acctbal / {w}) AS BIGINT) + 1)) AS b
+  FROM (SELECT DISTINCT s_acctbal FROM supplier)),
+near AS (
+  SELECT s.s_acctbal, sum(c.n) AS n
+  FROM s JOIN c ON c.b = s.b AND abs(c.c_acctbal - s.s_acctbal) <= {w}
+  GROUP BY s.s_acctbal)
+SELECT s.s_suppkey, sum(coalesce(near.n, 0)) AS n_close
+FROM supplier s LEFT JOIN near ON near.s_acctbal = s.s_acctbal
 GROUP BY s.s_suppkey
 """
 
