@@ -1,13 +1,18 @@
 """Licence notices by Dice coefficient over word bigrams (operator 3), in DataFrame functions alone.
 
-A passage is a line of the document.  It is normalised (lower case, everything
-but letters a-z and digits becomes one space) and compared to each template as a
-set of word bigrams (of single words where there is only one).  A set of ``a``
-bigrams can reach Dice coefficient ``t`` with one of ``b`` only if
-``b (t / (2 - t)) <= a <= b (2 - t) / t``; templates outside these bounds, and
-lines outside the bounds of all templates, are never compared.
-
-All work is inside one row: no shuffle, no Python.
+The whole text is normalised (lower case, everything but letters a-z and digits
+becomes one space, newlines too).  A passage is a window of its words, wherever
+lines begin or end, and is compared to each template as a set of word bigrams (a
+template of one word as that word).  A set of ``a`` bigrams can reach Dice
+coefficient ``t`` with one of ``b`` only if ``b t / (2 - t) <= a <= b (2 - t) / t``,
+and must share ``b t / (2 - t)`` of them: windows have at most ``b (2 - t) / t``
+bigrams, and only places with so many shared ones are compared.  Of windows that
+share a word the one with the higher coefficient is reported (then: smaller name,
+longer, earlier).
+
+Templates are the short notices of TEMPLATES and the other wordings, file headers
+and whole licence texts of WORDINGS.  All work is inside one row: no shuffle, no
+Python.
 
 Defined results: a null or empty text has no passages and no licence; ties go to
 the smaller template name; repeated rows are reported each; an empty table gives
@@ -16,6 +21,9 @@ no rows; other columns play no part.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +47,82 @@ TEMPLATES = {
     "Proprietary": "all rights reserved",
 }
 
+#: Other usual wordings, file headers and whole licence texts (fixed values, normalised).
+WORDINGS = [
+    ("Apache-2.0", "distributed under the apache license version 2 0"),
+    ("Apache-2.0", "licensed under the apache license 2 0"),
+    ("Apache-2.0",
+     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the "
+     "license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable "
+     "law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties "
+     "or conditions of any kind either express or implied see the license for the specific language governing permissions "
+     "and limitations under the license"),
+    ("AGPL-3.0",
+     "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as "
+     "published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("BSD-2-Clause",
+     "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+     "following conditions are met 1 redistributions of source code must retain the above copyright notice this list of "
+     "conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice "
+     "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+     "distribution this software is provided by the copyright holders and contributors as is and any express or implied "
+     "warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose "
+     "are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental "
+     "special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+     "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+     "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if "
+     "advised of the possibility of such damage"),
+    ("BSD-3-Clause", "licensed under the bsd 3 clause license"),
+    ("BSD-3-Clause",
+     "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+     "following conditions are met 1 redistributions of source code must retain the above copyright notice this list of "
+     "conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice "
+     "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+     "distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission this software is provided by the "
+     "copyright holders and contributors as is and any express or implied warranties including but not limited to the "
+     "implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the "
+     "copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential "
+     "damages including but not limited to procurement of substitute goods or services loss of use data or profits or "
+     "business interruption however caused and on any theory of liability whether in contract strict liability or tort "
+     "including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+     "possibility of such damage"),
+    ("CC-BY-4.0", "licensed under a creative commons attribution 4 0 international license"),
+    ("CC-BY-NC-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("CC-BY-SA-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("GPL-2.0",
+     "is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+     "published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("GPL-3.0",
+     "is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+     "published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("ISC",
+     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+     "provided that the above copyright notice and this permission notice appear in all copies the software is provided as "
+     "is and the author disclaims all warranties with regard to this software including all implied warranties of "
+     "merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential "
+     "damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+     "negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("LGPL-3.0",
+     "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+     "published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("MIT", "licensed under the mit license"),
+    ("MIT", "distributed under the mit license"),
+    ("MIT",
+     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+     "documentation files the software to deal in the software without restriction including without limitation the rights "
+     "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to "
+     "whom the software is furnished to do so subject to the following conditions the above copyright notice and this "
+     "permission notice shall be included in all copies or substantial portions of the software the software is provided as "
+     "is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+     "fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for "
+     "any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+     "connection with the software or the use or other dealings in the software"),
+    ("MPL-2.0",
+     "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+     "distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+]
+
 
 def _bigrams(words: list[str]) -> list[str]:
     pairs = [f"{a} {b}" for a, b in zip(words, words[1:])] or words
@@ -49,39 +133,89 @@ def _bounds(b: int, t: float) -> tuple[float, float]:
     return b * t / (2 - t), b * (2 - t) / t
 
 
+def _anchors(own: list[str], need: int) -> list[str]:
+    """Words, longest first, one of which every set of ``need`` of these bigrams holds."""
+    out: list[str] = []
+    for w in sorted({w for x in own for w in x.split()}, key=lambda w: (-len(w), w)):
+        if sum(not set(x.split()) & set(out) for x in own) < need:
+            break
+        out.append(w)
+    return out
+
+
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``found``: an array of (line, licence, dice) of the passages that reach the threshold."""
-    sets = {name: _bigrams(t.split()) for name, t in (templates or TEMPLATES).items()}
-    lows, highs = zip(*(_bounds(len(s), threshold) for s in sets.values()))
-    low, high = min(lows), max(highs)
+    """``docs`` with ``found``: an array of (line, licence, dice) of the passages that reach the threshold, in text order.
+
+    ``line`` is the line of the passage's first word.
+    """
+    known = [*TEMPLATES.items(), *WORDINGS] if templates is None else list(templates.items())
+    sets = [(name, _bigrams(re.sub("[^a-z0-9]+", " ", t.lower()).split())) for name, t in known]
+    singles = sorted((own[0], name) for name, own in sets if " " not in own[0])
+    cases = []
+    for name, own in sets:
+        low, high = _bounds(len(own), threshold)
+        if " " in own[0]:
+            cases.append((name, own, math.ceil(low - 1e-9), math.floor(high + 1e-9)))
+    anchors = sorted({w for _, own, need, _ in cases for w in _anchors(own, need)} | {w for w, _ in singles})
+    every = sorted({x for _, own, _, _ in cases for x in own})
     plain = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
-    lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
-    # a line of w words has at most max(w - 1, 1) bigrams, and at least one letter or digit for each word
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("x")))
-    near = F.filter(numbered, lambda r: F.length(r["x"]) >= 2 * low)
-    worded = F.transform(near, lambda r: F.struct(r["line"].alias("line"), F.split(plain(r["x"]), " ", -1).alias("w")))
-    df = docs.withColumn("_w", F.filter(worded, lambda r: (F.greatest(F.size(r["w"]) - 1, F.lit(1)) >= low) & (r["w"][0] != "")))
-    pairs = lambda w: F.array_distinct(F.when(F.size(w) > 1, F.zip_with(
-        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))),
-        lambda a, b: F.concat_ws(" ", a, b))).otherwise(w))
-    sized = F.transform("_w", lambda r: F.struct(r["line"].alias("line"), pairs(r["w"]).alias("b")))
-    df = df.withColumn("_b", F.filter(sized, lambda r: F.size(r["b"]).between(low, high)))
-
-    def score(r: Column, name: str, own: list[str]) -> Column:
-        a, b = _bounds(len(own), threshold)
-        n = F.size(r["b"])
-        common = F.size(F.array_intersect(r["b"], F.array(*map(F.lit, own))))
-        return F.when(n.between(a, b), F.struct((2 * common / (n + len(own))).alias("dice"), F.lit(name).alias("licence")))
-
-    def best(r: Column) -> Column:
-        all_scores = F.filter(F.array(*(score(r, k, v) for k, v in sorted(sets.items()))), lambda s: s.isNotNull())
-        top = F.aggregate(
-            all_scores, F.struct(F.lit(-1.0).alias("dice"), F.lit("").alias("licence")),
-            lambda acc, s: F.when(s["dice"] > acc["dice"], s).otherwise(acc))
-        return F.struct(r["line"].alias("line"), top["licence"].alias("licence"), top["dice"].alias("dice"))
-
-    df = df.withColumn("found", F.filter(F.transform("_b", best), lambda r: r["dice"] >= threshold))
-    return df.drop("_w", "_b")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    df = docs.withColumn("_w", F.split(plain(whole), " ", -1))
+    # a text without any anchor word can hold no notice
+    df = df.withColumn("_p", F.when(F.arrays_overlap("_w", F.array(*map(F.lit, anchors))), F.transform(
+        F.slice("_w", 1, F.size("_w") - 1), lambda x, i: F.concat_ws(" ", x, F.col("_w")[i + 1]))))
+    df = df.withColumn("_h", F.filter(F.transform("_p", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda r: r["x"].isin(every)))
+    if cases:
+        table_of = F.array(*(F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, own)).alias("own"), F.lit(need).alias("need"),
+                                      F.lit(most).alias("most")) for name, own, need, most in cases))
+        df = df.withColumn("_d", F.array_distinct(F.transform("_h", lambda r: r["x"])))
+        near = F.filter(table_of, lambda t: F.size(F.array_intersect(t["own"], F.col("_d"))) >= t["need"])
+
+        def windows(t: Column) -> Column:
+            """All windows that begin and end with a bigram of the template; other ends only lower the coefficient."""
+            hits = F.filter("_h", lambda r: F.array_contains(t["own"], r["x"]))
+
+            def window(h: Column, a: Column, e: Column) -> Column:
+                part = F.slice("_p", h[a]["at"] + 1, h[e]["at"] - h[a]["at"] + 1)
+                dice = 2 * F.size(F.array_intersect(part, t["own"])) / (F.size(F.array_distinct(part)) + F.size(t["own"]))
+                return _window(dice, t["licence"], h[a]["at"], h[e]["at"])
+
+            def starts(h: Column) -> Column:
+                first = F.filter(F.sequence(F.lit(0), F.size(h) - t["need"]), lambda a: h[a + t["need"] - 1]["at"] - h[a]["at"] < t["most"])
+                return F.flatten(F.transform(first, lambda a: F.filter(F.transform(F.filter(
+                    F.sequence(a + t["need"] - 1, F.least(F.size(h), a + t["most"]) - 1),
+                    lambda e: h[e]["at"] - h[a]["at"] < t["most"]), lambda e: window(h, a, e)), lambda s: -s["minus"] >= threshold)))
+
+            return F.flatten(F.transform(F.array(hits), lambda h: F.when(F.size(h) >= t["need"], starts(h)).otherwise(_none())))
+
+        found = F.flatten(F.transform(near, windows))
+    else:
+        found = _none()
+    if singles:  # a window of one word ends before it begins
+        words = F.filter(F.transform("_w", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda r: r["x"].isin([w for w, _ in singles]))
+        names = F.create_map(*(F.lit(v) for w, name in reversed(list({w: (w, n) for w, n in reversed(singles)}.values())) for v in (w, name)))
+        found = F.concat(found, F.transform(words, lambda r: _window(F.lit(1.0), names[r["x"]], r["at"], r["at"] - 1)))
+    df = df.withColumn("_c", F.array_sort(F.coalesce(found, _none())))
+    taken = F.aggregate("_c", _none(), lambda acc, s: F.when(
+        F.exists(acc, lambda o: (s["at"] <= o["to"] + 1) & (o["at"] <= s["to"] + 1)), acc).otherwise(F.concat(acc, F.array(s))))
+    df = df.withColumn("_t", F.array_sort(F.transform(taken, lambda s: F.struct(s["at"].alias("at"), s["licence"].alias("licence"), (-s["minus"]).alias("dice")))))
+    # words before the end of each line
+    some = F.size("_t") > 0
+    counts = F.transform(F.split(whole, "\n", -1), lambda x: F.when(plain(x) == "", 0).otherwise(F.size(F.split(plain(x), " ", -1))))
+    df = df.withColumn("_n", F.when(some, counts))
+    line = lambda at: F.aggregate("_n", F.struct(F.lit(0).alias("line"), F.lit(0).alias("sum")), lambda acc, n: F.struct(
+        (acc["line"] + F.when(acc["sum"] + n <= at, 1).otherwise(0)).alias("line"), (acc["sum"] + n).alias("sum")))["line"]
+    found = F.transform("_t", lambda s: F.struct(line(s["at"]).alias("line"), s["licence"].alias("licence"), s["dice"].alias("dice")))
+    return df.withColumn("found", found).drop("_w", "_p", "_h", "_d", "_c", "_t", "_n")
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<minus:double,licence:string,less:int,at:int,to:int>>")
+
+
+def _window(dice: Column, licence: Column, at: Column, to: Column) -> Column:
+    """Sorted, the best come first: by coefficient, name, length, place."""
+    return F.struct((-dice).alias("minus"), licence.alias("licence"), (at - to).alias("less"), at.alias("at"), to.alias("to"))
 
 
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
