@@ -45,8 +45,8 @@ def _sorted(rows):
     return sorted(rows, key=str)
 
 
-def test_all_ten_are_registered():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_first_ten_are_registered():
+    assert [k.split("_")[0] for k in QUERIES][:10] == [f"op{i}" for i in range(1, 11)]
 
 
 def test_decontamination_is_brute_force(spark, odd):

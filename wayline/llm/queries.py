@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayline.llm import decontam, langid, licences, lmscore, neardup, neighbours, packing, pii, quality, substring
+from wayline.llm import decontam, jaccardjoin, langid, licences, lmscore, middle, neardup, neighbours, packing, pii, quality, substring, vectorcodes
 
 QUERIES = {
     "op1_language_id": (langid.op1_language_id, None),
@@ -15,4 +15,7 @@ QUERIES = {
     "op8_bestfit_packing": (packing.op8_bestfit_packing, None),
     "op9_minhash_neardup": (neardup.op9_minhash_neardup, None),
     "op10_quality_classifier": (quality.op10_quality_classifier, None),
+    "op11_fill_in_middle": (middle.op11_fill_in_middle, middle.ORACLE),
+    "op12_jaccard_join": (jaccardjoin.op12_jaccard_join, jaccardjoin.ORACLE),
+    "op13_vector_codes": (vectorcodes.op13_vector_codes, vectorcodes.ORACLE),
 }
