@@ -41,3 +41,27 @@ def test_tree_scoring_is_a_projection(spark, sf):
     import __spark_entry__ as E
     p = _plan(E.queries()["tree_score"](spark, sf))
     assert "Exchange" not in p and "Join" not in p
+
+
+def _count(plan, word):
+    return sum(line.strip(" :+-*()0123456789").startswith(word) for line in plan.splitlines())
+
+
+def test_segments_take_one_scan_three_exchanges_and_no_join(spark, sf):
+    import __spark_entry__ as E
+    for n in ["trip_summary", "path_length", "trajectory_stats"]:
+        p = _plan(E.queries()[n](spark, sf))
+        assert _count(p, "FileScan") == 1 and _count(p, "Exchange") <= 3 and "Join" not in p, (n, p)
+
+
+def test_vocabulary_work_is_numbered_once(spark, sf, monkeypatch):
+    import __spark_entry__ as E
+    from wayline.operators import ordered
+    built = []
+    monkeypatch.setattr(ordered, "written", lambda df, name, f=ordered.written: built.append(_plan(df)) or f(df, name))
+    E.queries()["build_vocab"](spark, sf)
+    assert len(built) == 1 and _count(built[0], "FileScan") == 1 and "SinglePartition" not in built[0]
+    p = _plan(E.queries()["encode_tokens"](spark, sf))
+    assert _count(p, "FileScan parquet [l_") == 1 and _count(p, "Exchange") <= 6 and "SinglePartition" not in p, p
+    for n in ["batch_rows", "flatten_matrix"]:
+        assert "SinglePartition" not in _plan(E.queries()[n](spark, sf)), n

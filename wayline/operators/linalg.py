@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import running_sum
+from wayline.operators.ordered import numbered
 
 
 def dot(a: DataFrame, b: DataFrame, idx: str = "j", v: str = "v") -> DataFrame:
@@ -35,12 +35,10 @@ def transpose(m: DataFrame) -> DataFrame:
 def flatten_matrix(m: DataFrame) -> DataFrame:
     """Row-major position ``k`` (1-based) of each stored cell, by ``(i, j)``.
 
-    The position is a running count split by row ``i`` (monotone in the
-    order), so no single task numbers the whole matrix.
+    Cells are numbered over range partitions, so a row of any length and any
+    number of rows stay spread.
     """
-    d = m.withColumn("_one", F.lit(1))
-    r = running_sum(d, [], ["i", "j"], ["_one"], bucket=F.col("i"))
-    return r.withColumnRenamed("cum__one", "k").drop("_one")
+    return numbered(m, ["i", "j"], out="k")
 
 
 def check_constraints(a: DataFrame, x: DataFrame, rhs: DataFrame, v: str = "v", tol: float = 1e-9) -> DataFrame:

@@ -1,20 +1,86 @@
-"""Ordered work within a key that stays spread when one key is hot.
+"""Ordered work that stays spread when one key is hot.
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task.
 When one key (a trip, a user, a sequence) may hold a third of all rows, that
-task is the whole job.  The helpers here split each key into sub-buckets of
-the ordering (for example an hour of time), do the window inside
-``(key, bucket)``, and repair the bucket edges from a small per-bucket
-summary (one row per key and bucket), which is the only part ordered per key.
+task is the whole job.
+
+- ``runs`` range-partitions rows by key and order, so each partition is a run of
+  consecutive rows of bounded number, whatever the keys hold.  A window inside
+  ``(run, key)`` sees bounded rows; what crosses a run is merged from one summary
+  row per run and key (at most the keys plus the partitions).
+- ``numbered`` and ``totals_before`` number rows and total values over all runs.
+- ``with_previous`` and ``running_sum`` split a key by a bucket column that is
+  monotone in the order, and repair the edges from a summary per bucket.
 """
 
 from __future__ import annotations
 
+import uuid
+from itertools import accumulate
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.session import scratch_path
+
+RUN = "_run"
+
+
+def runs(df: DataFrame, key, order) -> DataFrame:
+    """``df`` range-partitioned by key and order, with its run (partition) number in ``_run``.
+
+    Rows of one run are consecutive in ``(key, order)``, and run numbers grow with
+    it.  The number stands for the rows of one evaluation of the plan only: use it
+    in the same plan, or write the table.
+    """
+    by = [*_cols(key), *_cols(order)]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *by).withColumn(RUN, F.spark_partition_id())
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: evaluated once, whoever reads it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order, key=(), out: str = "row_no") -> DataFrame:
+    """Add ``out``: 1-based position by ``order``, over all rows or within ``key``.
+
+    ``order`` (names or expressions of any orderable type) must be unique within a
+    key.  The rows are range-partitioned, sorted and written with their place in
+    their run; one count per run (as many as there are partitions) comes back as
+    offsets, which are added in the reading pass.  Positions within a key subtract
+    the key's first position, one row per key.
+    """
+    key = _names(key)
+    ranged = runs(df, key, order).sortWithinPartitions(*key, *_cols(order))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))   # low bits: place within the partition
+    tab = written(ranged.select(*df.columns, RUN, place.alias("_place")), "numbered")
+    sizes = {r[RUN]: r["n"] for r in tab.groupBy(RUN).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
+    at = F.col("_place") + F.get(F.lit(before), F.col(RUN))
+    if not key:
+        return tab.select(*df.columns, (at + 1).alias(out))
+    tab = tab.select(*df.columns, at.alias("_at"))
+    first = tab.groupBy(*key).agg(F.min("_at").alias("_first"))
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key]
+    return tab.alias("t").join(first.alias("f"), same).select(
+        *[F.col(f"t.{c}") for c in df.columns], (F.col("t._at") - F.col("f._first") + 1).alias(out))
+
+
+def totals_before(df: DataFrame, order, value: str, out: str = "_below") -> DataFrame:
+    """Run-wise sums: adds ``out``, the sum of ``value`` over the earlier rows of the same run.
+
+    The sum over whole earlier runs is left to the merge of the caller's own
+    summaries, one row per run.
+    """
+    w = Window.partitionBy(RUN).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return runs(df, [], order).select("*", F.coalesce(F.sum(value).over(w), F.lit(0)).alias(out))
+
 
 def _cols(x) -> list:
     if isinstance(x, (str, Column)):
@@ -23,7 +89,7 @@ def _cols(x) -> list:
 
 
 def _names(x) -> list[str]:
-    return [c for c in _cols(x)]
+    return list(_cols(x))
 
 
 def with_previous(df: DataFrame, key, order, cols: Sequence[str],
@@ -83,18 +149,3 @@ def running_sum(df: DataFrame, key, order, cols: Sequence[str],
     j = b.join(off, key + ["_bk"], "left")
     return j.select(*[F.col(c) for c in df.columns],
                     *[(F.col("_in_" + c) + F.col("_o_" + c)).alias(prefix + c) for c in cols])
-
-
-def quantile_bucket(df: DataFrame, c: str, n: int = 256, rel_err: float = 1e-3) -> Column:
-    """A bucket column monotone in ``c``: ``n`` approximate quantile boundaries.
-
-    The boundaries come from one aggregate (``percentile_approx``), a fixed
-    array of ``n`` values whatever the data size; rows are placed by
-    counting boundaries below them.  A global ordered scan over ``c`` then
-    splits into ``n`` similar-sized buckets.
-    """
-    probs = [i / n for i in range(1, n)]
-    acc = int(1 / rel_err)
-    bounds = df.agg(F.percentile_approx(c, probs, acc).alias("b")).first()["b"] or []
-    arr = F.array(*[F.lit(float(x)) for x in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    return F.size(F.filter(arr, lambda x: x < F.col(c).cast("double")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import running_sum
+from wayline.operators.ordered import numbered
 
 
 def sequence_lengths(df: DataFrame, key: str, col: str = "Y") -> DataFrame:
@@ -28,19 +28,12 @@ def audit_sequences(df: DataFrame, ref: str, others: dict, require: str) -> Data
 
 
 def batch_rows(df: DataFrame, order, n: int = 256, shard: Column | None = None) -> DataFrame:
-    """Fixed-size batches (last one short): ``batch = (row_number - 1) div n``.
+    """Fixed-size batches (last one short): ``batch = (row_no - 1) div n``.
 
-    Without a ``shard`` the numbering is global, computed with per-bucket
-    counts and offsets on the first ordering column (``shard`` then acts as a
-    monotone bucket); with a ``shard`` batches restart in each shard.
+    ``order`` may be of any orderable type; rows that tie in all of it are
+    numbered in any order.  Without a ``shard`` the numbering is global; with one,
+    batches restart in each shard, and a shard of any size stays spread.
     """
-    order = list(order)
-    d = df.withColumn("_one", F.lit(1))
-    if shard is None:
-        from wayline.operators.ordered import quantile_bucket
-        b = quantile_bucket(df, order[0], 64)
-        r = running_sum(d, [], order, ["_one"], bucket=b)
-    else:
-        r = running_sum(d.withColumn("_shard", shard), ["_shard"], order, ["_one"])
-    return r.withColumn("batch", F.floor((F.col("cum__one") - 1) / F.lit(n)).cast("bigint")) \
-            .withColumnRenamed("cum__one", "row_no").drop("_one", "_shard")
+    d, key = (df, []) if shard is None else (df.withColumn("_shard", shard), ["_shard"])
+    r = numbered(d, list(order), key, "row_no").drop("_shard")
+    return r.withColumn("batch", F.floor((F.col("row_no") - 1) / F.lit(n)).cast("bigint"))

@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import quantile_bucket, running_sum
+from wayline.operators.ordered import RUN, totals_before
 
 
 def group_rows(df: DataFrame, key: str, order: Sequence[str], chunk: Column | None = None,
@@ -76,20 +76,22 @@ def minmax_normalize(df: DataFrame, summary: DataFrame, cols: Sequence[str]) ->
     return df.select(*out)
 
 
-def auc(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
+def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve, ties counting one half.
 
-    Rows are first aggregated by score (positives, negatives).  The negatives
-    below each score come from a running sum over scores, split into
-    quantile buckets with per-bucket offsets, so no single-partition window
-    over raw rows or even over all distinct scores.
+    Rows are first aggregated by score (positives, negatives).  Scores are
+    range-partitioned; each run gives its positives, its negatives and the pairs it
+    ranks right by itself.  Merging the runs in order adds, for each, its positives
+    times the negatives of all earlier runs: one row per partition.
     """
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"),
                                F.sum((1 - F.col(label).cast("long"))).alias("neg"))
-    b = quantile_bucket(by, score, buckets)
-    r = running_sum(by, [], [score], ["neg"], bucket=b)
-    part = F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / F.lit(2.0))
-    return r.agg((F.sum(part) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    r = totals_before(by, [score], "neg")
+    per = r.groupBy(RUN).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+                             F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / F.lit(2.0))).alias("own"))
+    w = Window.orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)   # one row per run
+    m = per.select("pos", "neg", "own", F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("below"))
+    return m.agg((F.sum(F.col("own") + F.col("pos") * F.col("below")) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def logloss(df: DataFrame, label: str = "label", p: str = "score", eps: float = 1e-15) -> DataFrame:

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import haversine_m
 from wayline.functions.scalars import epoch_micros
-from wayline.operators.ordered import with_previous
+from wayline.operators.ordered import RUN, numbered, runs
 
 # Fixed values
 MOVING_SPEED = 2.5   # a point is on the moving path when its speed is above this
 
 
-def hour_bucket(ts: str = "ts") -> Column:
-    """Default sub-bucket of a trip: the hour of the point."""
-    return F.date_trunc("hour", F.col(ts))
-
-
 def sort_trajectory(cases: DataFrame, keep=("trip",), points: str = "tjs") -> DataFrame:
     """Points of each case in time order, one row per point.
 
@@ -87,62 +84,121 @@ def case_summary(cases: DataFrame) -> DataFrame:
         req_json.alias("req_json"))
 
 
-def path_length(points: DataFrame, key: str = "trip", order=("ts", "seq"),
-                bucket: Column | None = None, out: str = "path_m") -> DataFrame:
-    """Measured distance along ordered points per key (great-circle, metres).
+def path_segments(points: DataFrame, key: str = "trip", order=("ts", "seq"), v: float = MOVING_SPEED,
+                  jump_m: float = math.inf) -> DataFrame:
+    """One row per run and key: the mergeable summary of consecutive points.
 
-    Each point is paired with the previous one through ``with_previous``,
-    so a hot key is split by ``bucket`` (default: hour of ``ts``).
+    A segment holds its count, first and last point, length and steps over
+    ``jump_m``, the same for its moving points (speed above ``v``), and its first and
+    last time.  Runs are range partitions, so a trip of any length is cut into
+    segments of bounded size; each moving point's step starts at the moving point
+    before it.
     """
-    b = bucket if bucket is not None else hour_bucket(order[0])
-    p = with_previous(points.select(key, *order, "lng", "lat"), key, list(order),
-                      ["lng", "lat"], bucket=b)
-    step = F.coalesce(haversine_m("prev_lng", "prev_lat", "lng", "lat"), F.lit(0.0))
-    return p.groupBy(key).agg(F.sum(step).alias(out), F.count(F.lit(1)).alias("n_points"))
-
-
-def trip_summary(points: DataFrame, v: float = MOVING_SPEED, key: str = "trip",
-                 bucket: Column | None = None) -> DataFrame:
+    order = list(order)
+    r = runs(points.select(key, *order, "lng", "lat", "spd"), key, order)
+    moving = F.coalesce(F.col("spd") > F.lit(v), F.lit(False))
+    at = F.struct("lng", "lat")
+    w = Window.partitionBy(RUN, key).orderBy(*order)
+    p = r.select("*", moving.alias("_mov"), F.lag(at).over(w).alias("_p"),
+                 F.last(F.when(moving, at), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_m"))
+    step = haversine_m("_p.lng", "_p.lat", "lng", "lat")
+    place = F.struct(*order)
+    mplace = F.when(F.col("_mov"), place)
+    return p.groupBy(RUN, key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_mov").alias("m_n"),
+        F.coalesce(F.sum(step), F.lit(0.0)).alias("len"),
+        F.coalesce(F.sum(F.when(F.col("_mov"), haversine_m("_m.lng", "_m.lat", "lng", "lat"))), F.lit(0.0)).alias("m_len"),
+        F.count_if(step > F.lit(jump_m)).alias("jumps"),
+        F.min_by(at, place).alias("first"), F.max_by(at, place).alias("last"),
+        F.min_by(at, mplace).alias("m_first"), F.max_by(at, mplace).alias("m_last"),
+        F.min(order[0]).alias("t_first"), F.max(order[0]).alias("t_last"))
+
+
+def merged_segments(segments: DataFrame, key: str = "trip", jump_m: float = math.inf) -> DataFrame:
+    """Segments of a key in run order merged to one: lengths add up, and so do the
+    steps from each segment's last point to the next one's first.
+
+    A key has at most as many segments as there are partitions.
+    """
+    w = Window.partitionBy(key).orderBy(RUN)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    s = segments.select("*", F.lag("last").over(w).alias("_p"), F.last("m_last", ignorenulls=True).over(before).alias("_m"))
+    gap = haversine_m("_p.lng", "_p.lat", "first.lng", "first.lat")
+    m_gap = haversine_m("_m.lng", "_m.lat", "m_first.lng", "m_first.lat")
+    return s.groupBy(key).agg(
+        F.sum("n").alias("n_points"), F.sum("m_n").alias("n_moving"),
+        F.sum(F.col("len") + F.coalesce(gap, F.lit(0.0))).alias("path_m"),
+        F.sum(F.col("m_len") + F.coalesce(m_gap, F.lit(0.0))).alias("moving_m"),
+        (F.sum("jumps") + F.count_if(gap > F.lit(jump_m))).alias("n_jumps"),
+        F.min("t_first").alias("min_ts"), F.max("t_last").alias("max_ts"))
+
+
+def path_length(points: DataFrame, key: str = "trip", order=("ts", "seq"), out: str = "path_m") -> DataFrame:
+    """Measured distance along ordered points per key (great-circle, metres)."""
+    src = points if "spd" in points.columns else points.withColumn("spd", F.lit(None).cast("double"))
+    m = merged_segments(path_segments(src, key, order), key)
+    return m.select(key, F.col("path_m").alias(out), "n_points")
+
+
+def trip_summary(points: DataFrame, v: float = MOVING_SPEED, key: str = "trip") -> DataFrame:
     """Per trip: points, moving points, full path length and moving-path length.
 
-    The minimum slice of the library: sort, the speed filter, a window pass
-    (split by hour) and an aggregation.  Both lengths come from one
-    ordered pass over the points, each with its own previous point.
+    Both lengths come from one pass over range-partitioned points; segments are
+    merged per trip.
     """
-    b = bucket if bucket is not None else hour_bucket("ts")
-    base = points.select(key, "ts", "seq", "lng", "lat", "spd")
-    allp = with_previous(base, key, ["ts", "seq"], ["lng", "lat"], bucket=b)
-    mov = with_previous(base.where(F.col("spd") > F.lit(v)), key, ["ts", "seq"],
-                        ["lng", "lat"], bucket=b)
-    step = F.coalesce(haversine_m("prev_lng", "prev_lat", "lng", "lat"), F.lit(0.0))
-    a = allp.groupBy(key).agg(F.count(F.lit(1)).alias("n_points"),
-                              F.sum(step).alias("path_m"))
-    m = mov.groupBy(key).agg(F.count(F.lit(1)).alias("n_moving"),
-                             F.sum(step).alias("moving_m"))
-    return (a.join(m, key, "left")
-             .select(key, "n_points",
-                     F.coalesce("n_moving", F.lit(0)).alias("n_moving"),
-                     F.round("path_m", 3).alias("path_m"),
-                     F.round(F.coalesce("moving_m", F.lit(0.0)), 3).alias("moving_m")))
-
-
-def trajectory_stats(points: DataFrame, key: str = "trip", jump_m: float = 1000.0,
-                     bucket: Column | None = None) -> DataFrame:
+    m = merged_segments(path_segments(points, key, v=v), key)
+    return m.select(key, "n_points", "n_moving", F.round("path_m", 3).alias("path_m"), F.round("moving_m", 3).alias("moving_m"))
+
+
+def trajectory_stats(points: DataFrame, key: str = "trip", jump_m: float = 1000.0) -> DataFrame:
     """First / last time, point count, frequency (points per minute) and jumps
     (steps longer than ``jump_m`` metres)."""
-    b = bucket if bucket is not None else hour_bucket("ts")
-    p = with_previous(points.select(key, "ts", "seq", "lng", "lat"), key, ["ts", "seq"],
-                      ["lng", "lat"], bucket=b)
-    step = haversine_m("prev_lng", "prev_lat", "lng", "lat")
-    g = p.groupBy(key).agg(
-        F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
-        F.count(F.lit(1)).alias("n_points"),
-        F.count_if(step > F.lit(jump_m)).alias("n_jumps"))
+    src = points if "spd" in points.columns else points.withColumn("spd", F.lit(None).cast("double"))
+    g = merged_segments(path_segments(src, key, jump_m=jump_m), key, jump_m)
     span_min = (epoch_micros("max_ts") - epoch_micros("min_ts")) / F.lit(6e7)
     return g.select(key, "min_ts", "max_ts", "n_points", "n_jumps",
                     F.round(F.col("n_points") / (span_min + F.lit(1.0)), 4).alias("freq"))
 
 
+def sort_points(points: DataFrame, key: str = "trip", order=("ts", "lng", "lat", "spd", "acc"),
+                where: Column | None = None) -> DataFrame:
+    """Flat form of ``sort_trajectory``: each key's points numbered in time order.
+
+    A key of any length stays spread: no point list is gathered.  ``where`` keeps
+    some points before they are numbered.
+    """
+    src = points if where is None else points.where(where)
+    return numbered(src.select(key, *order), list(order), [key], "pos")
+
+
+def moving_points(points: DataFrame, key: str = "trip", v: float = MOVING_SPEED) -> DataFrame:
+    """Flat form of ``moving_path``."""
+    return sort_points(points, key, where=F.col("spd") > F.lit(v))
+
+
+def stalled_points(points: DataFrame, key: str = "trip", v: float = MOVING_SPEED) -> DataFrame:
+    """Flat form of ``stall_points``: positions are those among all points of the key."""
+    s = sort_points(points, key)
+    return s.where(~F.coalesce(F.col("spd") > F.lit(v), F.lit(False)))
+
+
+def array_points(rows: DataFrame, key: str = "trip", col: str = "grid_traj") -> DataFrame:
+    """Flat form of ``array_trajectory``: one string array ``[lng, lat, ts, spd, dist2grid]`` per row."""
+    num = lambda i: F.element_at(col, i).try_cast("double")
+    p = rows.select(key, F.element_at(col, 3).alias("ts"), num(1).alias("lng"), num(2).alias("lat"),
+                    num(4).alias("spd"), num(5).alias("dist2grid"))
+    return numbered(p, ["ts", "lng", "lat", "spd", "dist2grid"], [key], "pos")
+
+
+def point_summary(points: DataFrame, key: str = "trip", request: Column | None = None) -> DataFrame:
+    """Numbers of ``case_summary`` from flat points: count, rate and number of requests."""
+    asked = F.count_if(request) if request is not None else F.lit(0).cast("bigint")
+    g = points.groupBy(key).agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("enter_ts"), F.max("ts").alias("leave_ts"),
+                                asked.alias("req_size"))
+    minutes = (epoch_micros("leave_ts") - epoch_micros("enter_ts")) / F.lit(6e7) + F.lit(1.0)
+    return g.select(key, "enter_ts", "leave_ts", "count", F.round(F.col("count") / minutes * F.lit(5.0), 2).alias("rate"), "req_size")
+
+
 def geofence_dwell(points: DataFrame, fences: DataFrame, r_m: float, key: str = "trip") -> DataFrame:
     """Enter and leave time of each key's fence: first and last point within ``r_m``.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.operators.ordered import running_sum
+from wayline.operators.ordered import numbered
 
 # Fixed values
 MISS_TOKEN = "Non"   # reserved token for unknown values; id 0 stays free for padding
@@ -36,10 +36,10 @@ def _tagger(field: str):
     return lambda t: F.struct(F.lit(field).alias("field"), t.cast("string").alias("token"))
 
 
-def _pos_tagger(out: str, field: str):
-    """``(token, index) -> struct(out, field, pos, token)``."""
+def _pos_tagger(out: str, field: str, rest: Column):
+    """``(token, index) -> struct(out, field, pos, token, rest)``."""
     return lambda t, i: F.struct(F.lit(out).alias("out"), F.lit(field).alias("field"),
-                                 i.alias("pos"), t.cast("string").alias("token"))
+                                 i.alias("pos"), t.cast("string").alias("token"), rest.alias("rest"))
 
 
 def token_pairs(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
@@ -48,23 +48,15 @@ def token_pairs(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     return df.select(F.inline(F.concat(*parts)))
 
 
-def dense_ids(df: DataFrame, key: str, order: str, out: str = "id", prefix_len: int = 3,
-              first: str | None = None) -> DataFrame:
+def dense_ids(df: DataFrame, key: str, order: str, out: str = "id", first: str | None = None) -> DataFrame:
     """Dense 1-based ids by ``order`` within ``key`` (values of ``order`` distinct).
 
-    The ordering is split by the first ``prefix_len`` characters (monotone in
-    string order), so no single task sees a whole key.  ``first`` (a value of
-    ``order``) is put before all others, in its own bucket.
+    Rows are numbered over range partitions, so no task sees a whole key.
+    ``first`` (a value of ``order``) is put before all others.
     """
-    d = df.withColumn("_one", F.lit(1))
-    o = F.col(order)
     if first is None:
-        r = running_sum(d, [key], [order], ["_one"], bucket=F.substring(o, 1, prefix_len))
-    else:
-        d = d.withColumn("_rest", (o != F.lit(first)).cast("int"))
-        bucket = F.when(o == F.lit(first), F.lit("")).otherwise(F.concat(F.lit("~"), F.substring(o, 1, prefix_len)))
-        r = running_sum(d, [key], ["_rest", order], ["_one"], bucket=bucket).drop("_rest")
-    return r.withColumnRenamed("cum__one", out).drop("_one")
+        return numbered(df, [order], [key], out)
+    return numbered(df.withColumn("_rest", F.col(order) != F.lit(first)), ["_rest", order], [key], out).drop("_rest")
 
 
 def build_vocab(df: DataFrame, fields: Mapping[str, str], require: str | None = None,
@@ -96,35 +88,32 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, spec: Mapping[str, tuple[str,
 
     ``spec`` maps an output column to ``(field, input column)``; the input may
     be a scalar or an array.  All columns go through one explode, one join with
-    the vocabulary and one regroup by ``key`` (the row's unique key).
+    the vocabulary and one regroup by ``key`` (the row's unique key).  The other
+    columns travel on one row of the exploded form, so ``df`` is read once.
     ``miss_id`` (1 for vocabularies from ``build_vocab``) saves looking the
     miss token up in the vocabulary.
     """
-    long = df.select(key, F.inline(F.concat(*[
-        F.transform(_as_array(df, c, keep_null=True), _pos_tagger(out, f))
-        for out, (f, c) in spec.items()])))
-    j = long.join(vocab, ["field", "token"], "left")
+    others = [c for c in df.columns if c != key and c not in spec]
+    rest = F.struct(F.lit(True).alias("_row"), *others)
+    none = F.lit(None).cast(df.select(rest.alias("r")).schema["r"].dataType)
+    own = F.array(F.struct(F.lit(None).cast("string").alias("out"), F.lit(None).cast("string").alias("field"),
+                           F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("token"), rest.alias("rest")))
+    tokens = [F.transform(_as_array(df, c, keep_null=True), _pos_tagger(out, f, none)) for out, (f, c) in spec.items()]
+    long = df.select(key, F.inline(F.concat(own, *tokens)))
+    j = long.join(vocab.select("field", "token", "id"), ["field", "token"], "left")
     if miss_id is None:
         j = j.join(F.broadcast(miss_ids(vocab, miss_token)), "field", "left")   # one row per field
     else:
         j = j.withColumn("miss_id", F.lit(miss_id))
-    j = j.select(key, "out", "pos", F.coalesce("id", "miss_id").alias("id"))
-    g = j.groupBy(key).agg(*[
+    j = j.select(key, "out", "pos", "rest", F.coalesce("id", "miss_id").alias("id"))
+    g = j.groupBy(key).agg(F.first("rest", ignorenulls=True).alias("_rest"), *[
         F.array_sort(F.collect_list(F.when(F.col("out") == out, F.struct("pos", "id")))).alias("_" + out)
         for out in spec])
-    enc = g.select(key, *[F.transform(F.col("_" + out), lambda s: s["id"]).alias(out) for out in spec])
     scalars = {out for out, (f, c) in spec.items() if df.schema[c].dataType.typeName() != "array"}
-    res = df.join(enc, key, "left")
-    cols = []
-    for c in res.columns:
-        if c in spec:
-            if c in scalars:
-                cols.append(F.try_element_at(F.col(c), F.lit(1)).alias(c))
-            else:
-                cols.append(F.coalesce(F.col(c), F.array().cast("array<int>")).alias(c))
-        else:
-            cols.append(F.col(c))
-    return res.select(*cols)
+    ids = {out: F.transform(F.col("_" + out), lambda s: s["id"]) for out in spec}
+    new = [(F.try_element_at(ids[o], F.lit(1)) if o in scalars else ids[o]).alias(o) for o in spec if o not in df.columns]
+    same = {o: (F.try_element_at(ids[o], F.lit(1)) if o in scalars else ids[o]).alias(o) for o in spec if o in df.columns}
+    return g.select(*[F.col(key) if c == key else same[c] if c in same else F.col("_rest")[c].alias(c) for c in df.columns], *new)
 
 
 def md5_bucket(token: Column, n: int) -> Column:

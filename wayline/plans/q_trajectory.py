@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayline import fixtures as fx
+from wayline.functions.scalars import epoch_micros
 from wayline.operators import trajectory as tj
 from wayline.plans.oracle_fixtures import POINTS, haversine_sql
 
@@ -171,7 +172,71 @@ WHERE {haversine_sql('p.lng', 'p.lat', 'g.flng', 'g.flat')} <= 8000e0
 GROUP BY p.trip
 """
 
+def q_sort_points(spark, sf):
+    return tj.sort_points(fx.points(spark, sf))
+
+
+SQL_SORT_POINTS = f"""
+WITH points AS ({POINTS})
+SELECT trip, ts, lng, lat, spd, acc, row_number() OVER (PARTITION BY trip ORDER BY ts, lng, lat) AS pos FROM points
+"""
+
+
+def q_moving_points(spark, sf):
+    return tj.moving_points(fx.points(spark, sf))
+
+
+SQL_MOVING_POINTS = f"""
+WITH points AS ({POINTS})
+SELECT trip, ts, lng, lat, spd, acc, row_number() OVER (PARTITION BY trip ORDER BY ts, lng, lat) AS pos
+FROM points WHERE spd > 2.5
+"""
+
+
+def q_stalled_points(spark, sf):
+    return tj.stalled_points(fx.points(spark, sf))
+
+
+SQL_STALLED_POINTS = f"""
+SELECT * FROM ({SQL_SORT_POINTS}) WHERE NOT coalesce(spd > 2.5, FALSE)
+"""
+
+
+def q_array_points(spark, sf):
+    p = fx.points(spark, sf)
+    f = lambda c, d: F.coalesce(F.format_string(f"%.{d}f", F.col(c)), F.lit(""))
+    rows = p.select("trip", F.array(f("lng", 6), f("lat", 6), epoch_micros("ts").cast("string"),
+                                    F.when(F.col("spd").isNull(), "").otherwise(f("spd", 4)), F.col("acc").cast("string")).alias("grid_traj"))
+    return tj.array_points(rows)
+
+
+SQL_ARRAY_POINTS = f"""
+WITH points AS ({POINTS}),
+t AS (SELECT trip, CAST(epoch_us(ts) AS VARCHAR) AS ts, CAST(printf('%.6f', lng) AS DOUBLE) AS lng,
+             CAST(printf('%.6f', lat) AS DOUBLE) AS lat, CAST(printf('%.4f', spd) AS DOUBLE) AS spd,
+             CAST(acc AS DOUBLE) AS dist2grid FROM points)
+SELECT trip, ts, lng, lat, spd, dist2grid, row_number() OVER (PARTITION BY trip ORDER BY ts, lng, lat) AS pos FROM t
+"""
+
+
+def q_point_summary(spark, sf):
+    return tj.point_summary(fx.points(spark, sf), request=F.col("title") == "signup")
+
+
+SQL_POINT_SUMMARY = f"""
+WITH points AS ({POINTS})
+SELECT trip, min(ts) AS enter_ts, max(ts) AS leave_ts, count(*) AS count,
+       round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7 + 1e0) * 5e0, 2) AS rate,
+       CAST(count_if(title = 'signup') AS BIGINT) AS req_size
+FROM points GROUP BY trip
+"""
+
 QUERIES.update({
+    "sort_points": (q_sort_points, SQL_SORT_POINTS),
+    "moving_points": (q_moving_points, SQL_MOVING_POINTS),
+    "stalled_points": (q_stalled_points, SQL_STALLED_POINTS),
+    "array_points": (q_array_points, SQL_ARRAY_POINTS),
+    "point_summary": (q_point_summary, SQL_POINT_SUMMARY),
     "sort_trajectory": (q_sort_trajectory, SQL_SORT_TRAJECTORY),
     "moving_path": (q_moving_path, SQL_MOVING_PATH),
     "stall_points": (q_stall_points, SQL_STALL_POINTS),
