@@ -8,7 +8,11 @@ from wayline import fixtures as fx
 from wayline.functions import scalars as sc
 from wayline.functions.sequence import drop_empty_tokens
 from wayline.operators import features as fe
+from wayline.operators import stats as st
+from wayline.operators import vocab as vc
+from wayline.operators.ordered import written
 from wayline.plans.oracle_fixtures import OUTCOMES, POINTS
+from wayline.plans.q_vocab import _key_vocab
 from wayline.sources.tables import table
 
 
@@ -28,9 +32,10 @@ SELECT oid, CAST(assignd AS DOUBLE) AS y_assign, CAST(canceld AS DOUBLE) AS y_ca
 
 
 def _history_frame(spark, sf):
+    """Orders with their user's history over all orders; the values are absent where orderkey % 7 = 0."""
     o = fx.outcomes(spark, sf)
-    hist = fe.user_history(o.where(F.col("orderkey") % 7 != 0), "user_id")
-    return o.select("oid", "user_id").join(hist, "user_id", "left")
+    j = o.join(fe.user_history(o, "user_id"), "user_id", "left")
+    return j.select("oid", "user_id", *[F.when(F.col("orderkey") % 7 != 0, F.col(c)).alias(c) for c in fe.USER_COLUMNS])
 
 
 def q_null_indicators(spark, sf):
@@ -52,11 +57,15 @@ _HIST_SQL = """
         FROM {src} GROUP BY user_id)"""
 
 SQL_NULL_INDICATORS = f"""
-WITH f AS ({OUTCOMES}), {_HIST_SQL.format(src='(SELECT * FROM f WHERE orderkey % 7 <> 0)')}
-SELECT f.oid, coalesce(ord_num, 0e0) AS ord_num, CAST(ord_num IS NULL AS BIGINT) AS null_ord_num,
+WITH f AS ({OUTCOMES}), {_HIST_SQL.format(src='f')},
+j AS (SELECT f.oid, CASE WHEN orderkey % 7 <> 0 THEN ord_num END AS ord_num,
+             CASE WHEN orderkey % 7 <> 0 THEN min_cancel_xt END AS min_cancel_xt,
+             CASE WHEN orderkey % 7 <> 0 THEN avg_assign_xt END AS avg_assign_xt
+      FROM f LEFT JOIN h ON h.user_id = f.user_id)
+SELECT oid, coalesce(ord_num, 0e0) AS ord_num, CAST(ord_num IS NULL AS BIGINT) AS null_ord_num,
        coalesce(min_cancel_xt, 0e0) AS min_cancel_xt, CAST(min_cancel_xt IS NULL AS BIGINT) AS null_min_cancel_xt,
        round(coalesce(avg_assign_xt, 0e0), 6) AS avg_assign_xt, CAST(avg_assign_xt IS NULL AS BIGINT) AS null_avg_assign_xt
-FROM f LEFT JOIN h ON h.user_id = f.user_id
+FROM j
 """
 
 
@@ -185,7 +194,7 @@ HORIZONS = (5, 10, 15, 30)
 def q_rolling_features(spark, sf):
     e = table(spark, sf, "events")
     r = fe.rolling_features(e.select("event_id", "event_type", "ts", "value"), "event_type", "ts",
-                            {"Cnt": "count", "AvgValue": "avg:value"}, HORIZONS, bucket_minutes=60)
+                            {"Cnt": "count", "AvgValue": "avg:value"}, HORIZONS)
     cols = [F.col(f"online_Cnt{h}min") for h in HORIZONS] + \
            [F.round(f"online_AvgValue{h}min", 6).alias(f"online_AvgValue{h}min") for h in HORIZONS]
     return r.select("event_id", *cols)
@@ -261,7 +270,126 @@ WHERE EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id = a.vec_id + 1)
   AND EXISTS (SELECT 1 FROM embeddings c WHERE c.vec_id = a.vec_id + 2)
 """
 
+# ---- the feature frame (#37, #40): online averages as of the order, indicators, embeddings ------
+
+#: Epoch microseconds of the first event day; orders ask at a minute of the month that follows.
+EVENT_START = 1704067200000000
+#: Values of the list vocabularies that are known, and unknown buckets (user ids come from ``customer``).
+KNOWN = {"reserve_partner_car_type_id": (4, 1), "dayofweek": (8, 1), "timeSlice": (47, 1), "sHexID": (45, 1)}
+#: Embedded columns in order, with the first position and the width of their vectors in the embedding table.
+EMBEDDED = [("user_id", 1, 6), ("reserve_partner_car_type_id", 7, 3), ("dayofweek", 10, 3), ("timeSlice", 13, 3), ("sHexID", 16, 6)]
+#: Vectors that stand for the rows of each column's embedding.
+EMBEDDING_ROWS = 500
+
+
+def _asked(spark, sf):
+    """Orders with the time they asked at, spread over the month of events."""
+    return fx.outcomes(spark, sf).withColumn(
+        "asked", F.lit(EVENT_START) + F.col("orderkey") * 7919 % 43200 * 60_000_000)
+
+
+def _online(spark, sf):
+    """Orders with the twenty online averages of their start and end hex; absent where orderkey % 7 = 0."""
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    kind = lambda name: F.col("event_type") == name
+    start = {"avgCancelNumber": kind("error"), "avgScheduleNumber": kind("view"), "avgScheduleTime": F.col("value"),
+             "avgSubmitNumber": kind("click")}
+    w = fe.window_averages(e.withColumn("hex", (F.col("user_id") % 50).cast("string")), "hex", "ts", start)
+    o = fe.online_features(_asked(spark, sf), w.withColumnRenamed("hex", "sHexID"), "sHexID", "asked", list(start))
+    w = fe.window_averages(e.withColumn("hex", (F.col("k") % 50).cast("string")), "hex", "ts", {"avgSubmitNumberEnd": kind("click")})
+    o = fe.online_features(o, w.withColumnRenamed("hex", "eHexID"), "eHexID", "asked", ["avgSubmitNumberEnd"])
+    return o.select(*[F.when(F.col("orderkey") % 7 != 0, F.col(c)).alias(c) if c in fe.ONLINE_COLUMNS else F.col(c) for c in o.columns])
+
+
+def q_online_features(spark, sf):
+    n = fe.null_indicators(_online(spark, sf), fe.ONLINE_COLUMNS)
+    return n.select("oid", *[F.round(c, 6).alias(c) for c in fe.ONLINE_COLUMNS], *["null_" + c for c in fe.ONLINE_COLUMNS])
+
+
+def feature_frame(spark, sf):
+    """Orders with ``features``: embeddings, normalised distance, absence indicators and normalised online averages, in this order."""
+    f = fe.null_indicators(_online(spark, sf), fe.ONLINE_COLUMNS)
+    f = f.withColumn("reserve_partner_car_type_id", drop_empty_tokens("reserve_partner_car_type_id"))
+    f = f.join(fe.user_history(fx.outcomes(spark, sf), "user_id"), "user_id", "left")   # user columns are kept, not assembled
+    scaled = ["dist", *fe.ONLINE_COLUMNS]
+    f = written(f, "features")   # read twice: for the summary and for the frame
+    f = st.minmax_normalize(f, st.column_summary(f, scaled), scaled)
+    users = _key_vocab(table(spark, sf, "customer"), "c_custkey", "user_id")
+    emb = table(spark, sf, "embeddings").where(F.col("vec_id") < EMBEDDING_ROWS)
+    for c, at, width in EMBEDDED:
+        known, unknown = KNOWN.get(c, (None, 4))
+        vocab = users if known is None else vc.list_vocab(spark, range(known), c)
+        if c == "reserve_partner_car_type_id":
+            f = vc.encode_oov_lists(f, vocab, c, c, unknown, "oid", out="_ix")
+            f = f.withColumn("_ix", F.transform("_ix", lambda i: i % EMBEDDING_ROWS))
+        else:
+            f = vc.encode_oov_buckets(f, vocab, c, c, unknown, out="_ix").withColumn("_ix", F.col("_ix") % EMBEDDING_ROWS)
+        part = emb.select("vec_id", F.slice("embedding", at, width).alias("embedding"))
+        f = fe.embedding_lookup(f, "_ix", part, "oid", "emb_" + c, dim=width).drop("_ix")
+    groups = {"embedding": ["emb_" + c for c, _, _ in EMBEDDED], "order": ["dist"],
+              "spacetime": ["null_" + c for c in fe.ONLINE_COLUMNS] + fe.ONLINE_COLUMNS, "user": fe.USER_COLUMNS}
+    return fe.assemble_features(f, groups)
+
+
+N_FEATURES = sum(w for _, _, w in EMBEDDED) + 1 + 2 * len(fe.ONLINE_COLUMNS)
+
+
+def q_feature_frame(spark, sf):
+    return feature_frame(spark, sf).select("oid", F.size("features").alias("n"), *[
+        F.round(F.get("features", F.lit(i)), 6).alias(f"f{i:02d}") for i in range(N_FEATURES)])
+
+
+def _online_sql() -> str:
+    """CTEs up to ``onl``: orders with the online averages as of their time, by ASOF joins over each horizon's windows."""
+    kinds = {"avgCancelNumber": "avg(CAST(event_type = 'error' AS DOUBLE))", "avgScheduleNumber": "avg(CAST(event_type = 'view' AS DOUBLE))",
+             "avgScheduleTime": "avg(value)", "avgSubmitNumber": "avg(CAST(event_type = 'click' AS DOUBLE))"}
+    out = [f"""f AS ({OUTCOMES}),
+o AS (SELECT *, {EVENT_START} + orderkey * 7919 % 43200 * 60000000 AS asked FROM f)"""]
+    joins, cols = [], []
+    for h in fe.ONLINE_HORIZONS:
+        end = f"CAST((epoch_us(ts) // {h * 60000000} + 1) * {h * 60000000} AS BIGINT)"
+        out.append(f"""s{h} AS (SELECT CAST(user_id % 50 AS VARCHAR) AS hex, {end} AS w, {', '.join(f'{e} AS {m}' for m, e in kinds.items())}
+       FROM events GROUP BY 1, 2)""")
+        out.append(f"""e{h} AS (SELECT CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 50 AS VARCHAR) AS hex, {end} AS w,
+              {kinds['avgSubmitNumber']} AS avgSubmitNumberEnd FROM events GROUP BY 1, 2)""")
+        joins.append(f"ASOF LEFT JOIN s{h} ON o.sHexID = s{h}.hex AND o.asked >= s{h}.w ASOF LEFT JOIN e{h} ON o.eHexID = e{h}.hex AND o.asked >= e{h}.w")
+    for m in fe.ONLINE_METRICS:
+        for h in fe.ONLINE_HORIZONS:
+            cols.append(f"CASE WHEN orderkey % 7 <> 0 THEN {'e' if m == 'avgSubmitNumberEnd' else 's'}{h}.{m} END AS online_{m}{h}min")
+    out.append("onl AS MATERIALIZED (SELECT o.*, " + ", ".join(cols) + " FROM o " + " ".join(joins) + ")")
+    return "WITH " + ",\n".join(out)
+
+
+SQL_ONLINE_FEATURES = _online_sql() + "\nSELECT oid, " + ", ".join(
+    [f"round(coalesce({c}, 0e0), 6) AS {c}" for c in fe.ONLINE_COLUMNS]
+    + [f"CAST({c} IS NULL AS BIGINT) AS null_{c}" for c in fe.ONLINE_COLUMNS]) + " FROM onl"
+
+
+def _feature_sql() -> str:
+    vec = lambda a, at, w: [f"{a}.v[{at + i}]" for i in range(w)]
+    emb = vec("eu", 1, 6) + [f"(p1.v[{i}] + p2.v[{i}]) / 2e0" for i in (7, 8, 9)] + vec("ed", 10, 3) + vec("et", 13, 3) + vec("eh", 16, 6)
+    norm = lambda c: f"(coalesce({c}, 0e0) - m.lo_{c}) / nullif(m.hi_{c} - m.lo_{c}, 0e0)"
+    feats = emb + [norm("dist")] + [f"CAST({c} IS NULL AS DOUBLE)" for c in fe.ONLINE_COLUMNS] + [norm(c) for c in fe.ONLINE_COLUMNS]
+    scaled = ["dist", *fe.ONLINE_COLUMNS]
+    return f"""{_online_sql()},
+m AS (SELECT {', '.join(f'min(coalesce({c}, 0e0)) AS lo_{c}, max(coalesce({c}, 0e0)) AS hi_{c}' for c in scaled)} FROM onl),
+cv AS (SELECT CAST(c_custkey AS VARCHAR) AS token, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer WHERE c_custkey % 3 <> 0),
+cn AS (SELECT count(*) AS V FROM cv),
+ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < {EMBEDDING_ROWS}),
+ix AS (SELECT onl.*, coalesce(cv.id, cn.V + CAST(('0x' || substring(md5(user_id), 1, 8)) AS BIGINT) % 4) % {EMBEDDING_ROWS} AS u
+       FROM onl CROSS JOIN cn LEFT JOIN cv ON cv.token = user_id)
+SELECT oid, {N_FEATURES} AS n, {', '.join(f'round({e}, 6) AS f{i:02d}' for i, e in enumerate(feats))}
+FROM ix CROSS JOIN m
+LEFT JOIN ev eu ON eu.vec_id = ix.u LEFT JOIN ev p1 ON p1.vec_id = least(orderkey % 5, 4) LEFT JOIN ev p2 ON p2.vec_id = orderkey % 3
+LEFT JOIN ev ed ON ed.vec_id = CAST(dayofweek AS BIGINT) LEFT JOIN ev et ON et.vec_id = least(CAST(timeSlice AS BIGINT), 47)
+LEFT JOIN ev eh ON eh.vec_id = least(CAST(sHexID AS BIGINT), 45)"""
+
+
+SQL_FEATURE_FRAME = _feature_sql()
+
 QUERIES = {
+    "online_features": (q_online_features, SQL_ONLINE_FEATURES),
+    "feature_frame": (q_feature_frame, SQL_FEATURE_FRAME),
     "label_vector": (q_label_vector, SQL_LABEL_VECTOR),
     "null_indicators": (q_null_indicators, SQL_NULL_INDICATORS),
     "indicator_defaults": (q_indicator_defaults, SQL_INDICATOR_DEFAULTS),

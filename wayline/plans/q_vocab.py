@@ -8,7 +8,7 @@ from wayline import fixtures as fx
 from wayline.functions import sequence as sq
 from wayline.operators import sequence as so
 from wayline.operators import vocab as vc
-from wayline.operators.ordered import running_sum
+from wayline.operators.ordered import numbered
 from wayline.plans.oracle_fixtures import seq_long
 from wayline.sources.tables import table
 
@@ -143,10 +143,9 @@ def q_encode_oov_buckets(spark, sf):
 
 
 def _key_vocab(df, key: str, field: str):
-    """List vocabulary of two thirds of the keys, in key order; numbered in stretches of 10,000 keys."""
-    keys = df.where(F.col(key) % 3 != 0).select(key, F.lit(1).alias("one"))
-    n = running_sum(keys, [], [key], ["one"], bucket=F.floor(F.col(key) / 10_000))
-    return n.select(F.lit(field).alias("field"), F.col(key).cast("string").alias("token"), (F.col("cum_one") - 1).cast("int").alias("id"))
+    """List vocabulary of two thirds of the keys, in key order."""
+    n = numbered(df.where(F.col(key) % 3 != 0).select(key), [key], out="at")
+    return n.select(F.lit(field).alias("field"), F.col(key).cast("string").alias("token"), (F.col("at") - 1).cast("int").alias("id"))
 
 
 def q_encode_oov_lists(spark, sf):
