@@ -33,12 +33,14 @@ def pad_int_sequence(c, T: int = 59) -> Column:
 
 
 def one_hot_positions(c, T: int) -> Column:
-    """T x T 0/1 matrix of a position sequence; padding rows (and labels >= T) are all zero."""
+    """T x T 0/1 matrix of a position sequence; padding rows are all zero; a label of T or more raises."""
     k = keep_last(c, T)
     rows = F.sequence(F.lit(1), F.lit(T))
-    return F.transform(rows, lambda i: F.transform(
+    hot = F.transform(rows, lambda i: F.transform(
         F.sequence(F.lit(0), F.lit(T - 1)),
         lambda j: F.when((i <= F.size(k)) & (F.element_at(k, i) == j), F.lit(1)).otherwise(F.lit(0))))
+    return F.when(F.array_max(k) >= T, F.raise_error(F.format_string(
+        "label %s does not fit in %d positions", F.array_max(k).cast("string"), F.lit(T))).cast("array<array<int>>")).otherwise(hot)
 
 
 def log1p_sequence(c, T: int) -> Column:

@@ -72,6 +72,43 @@ def objective(c: DataFrame, x: DataFrame, v: str = "v") -> DataFrame:
     return dot(c, x, "j", v).withColumnRenamed("dot", "objective")
 
 
+def certificate(a: DataFrame, rhs: DataFrame, c: DataFrame, x: DataFrame, y: DataFrame, lo: float | None = 0.0,
+                hi: float | None = None, v: str = "v", tol: float = 1e-9) -> DataFrame:
+    """Whether ``x`` and ``y`` prove each other optimal for: maximise ``c . x`` with
+    ``A x rel b`` and ``x >= 0``; minimise ``b . y`` with ``A^T y >= c``.
+
+    ``rhs`` is ``(i, rel, b)``, ``c`` and ``x`` are ``(j, v)``, ``y`` is ``(i, v)``; entries
+    that aren't stored are 0.  One row: broken primal rows (``A x rel b``), broken
+    dual columns (``A^T y >= c``), entries of ``x`` outside ``[lo, hi]``, entries of
+    ``y`` of the wrong sign for their row's relation, both objectives and their gap,
+    rows and columns whose slack and multiplier are both non-zero, and ``optimal``.
+    Two sparse products, joined by row and by column.
+    """
+    rows = check_constraints(a, x, rhs, v, tol).join(y.select("i", F.col(v).alias("_y")), "i", "left") \
+        .withColumn("_y", F.coalesce("_y", F.lit(0.0)))
+    sign = F.when(F.col("rel") == "<=", F.col("_y") >= F.lit(-tol)).when(F.col("rel") == ">=", F.col("_y") <= F.lit(tol)).otherwise(F.lit(True))
+    r = rows.agg(F.count_if(~F.col("holds")).alias("rows_broken"), F.count_if(~sign).alias("y_wrong_sign"),
+                 F.coalesce(F.sum(F.col("b") * F.col("_y")), F.lit(0.0)).alias("dual_objective"),
+                 F.count_if(F.abs(F.col("slack") * F.col("_y")) > F.lit(tol)).alias("rows_not_complementary"))
+    aty = mat_vec(transpose(a), y.select(F.col("i").alias("j"), F.col(v)), v).select(F.col("i").alias("j"), F.col("y").alias("_ay"))
+    cols = (c.select("j", F.col(v).alias("_c")).join(x.select("j", F.col(v).alias("_x")), "j", "full").join(aty, "j", "full")
+            .select("j", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in ("_c", "_x", "_ay")]))
+    over = F.col("_ay") - F.col("_c")
+    inside = F.lit(True)
+    if lo is not None:
+        inside = inside & (F.col("_x") >= F.lit(lo))
+    if hi is not None:
+        inside = inside & (F.col("_x") <= F.lit(hi))
+    k = cols.agg(F.count_if(over < F.lit(-tol)).alias("columns_broken"), F.count_if(~inside).alias("x_out_of_bounds"),
+                 F.coalesce(F.sum(F.col("_c") * F.col("_x")), F.lit(0.0)).alias("primal_objective"),
+                 F.count_if(F.abs(over * F.col("_x")) > F.lit(tol)).alias("columns_not_complementary"))
+    one = r.join(k)   # one row each
+    gap = F.col("dual_objective") - F.col("primal_objective")
+    bad = ["rows_broken", "y_wrong_sign", "columns_broken", "x_out_of_bounds"]
+    return one.select(*bad, "primal_objective", "dual_objective", gap.alias("gap"), "rows_not_complementary", "columns_not_complementary",
+                      ((sum((F.col(n) for n in bad), F.lit(0)) == 0) & (F.abs(gap) <= F.lit(tol) * F.greatest(F.lit(1.0), F.abs("primal_objective")))).alias("optimal"))
+
+
 def pair_counts(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """Number of ordered pairs (n^2) and of pairs with j <= i (n(n+1)/2) per group.
 

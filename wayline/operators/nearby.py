@@ -14,7 +14,8 @@ METRES_PER_DEG_LAT_MIN = 110_000.0   # lower bound of the length of one degree o
 
 
 def nearby_stats(left: DataFrame, right: DataFrame, r_m: float, key: str = "oid",
-                 lng: str = "lng", lat: str = "lat", cells_per_radius: int = 2) -> DataFrame:
+                 lng: str = "lng", lat: str = "lat", cells_per_radius: int = 2,
+                 cell_rows: int = 4096) -> DataFrame:
     """For each left point: number, nearest and mean distance of right points within ``r_m``.
 
     Both sides are cut into grid cells ``r_m / k`` wide (``k`` =
@@ -24,6 +25,10 @@ def nearby_stats(left: DataFrame, right: DataFrame, r_m: float, key: str = "oid"
     in nearby cells are compared - never all pairs.  Finer cells (larger k)
     compare fewer pairs (area ``((2k+1)/k)^2 r^2`` against ``pi r^2``) at the
     cost of more copies of the right side.
+
+    Left points are counted per cell; a cell of more than ``cell_rows`` is dealt
+    into parts of about that many, and the right points of its neighbourhood are
+    copied to each, so a hot cell is spread over tasks.
     """
     mx = left.select(F.max(F.abs(lat)).alias("m")).union(right.select(F.max(F.abs(lat)).alias("m"))) \
         .agg(F.max("m")).first()[0]
@@ -62,12 +67,17 @@ def nearby_stats(left: DataFrame, right: DataFrame, r_m: float, key: str = "oid"
     if dlng >= 180:  # a whole circle of latitude: each point once, on its shorter side
         box = box & (F.col("_rlng") - F.col("_lng") > -180) & (F.col("_rlng") - F.col("_lng") <= 180)
     d = F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
-    # spread the probe side by cell: a sort-merge join reuses this partitioning,
-    # a broadcast join gets one task per slice of cells instead of one per input file
-    nparts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lc = lc.repartition(nparts, "_cx", "_cy")
+    hot = (lc.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > cell_rows)
+           .select("_cx", "_cy", F.ceil(F.col("_c") / F.lit(cell_rows)).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    lc = lc.join(hot, ["_cx", "_cy"], "left").withColumn(
+        "_part", F.pmod(F.xxhash64(key, "_lng", "_lat"), parts).cast("int")).drop("_parts")
+    rc = rc.join(hot, ["_cx", "_cy"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    # spread the probe side by cell part: a sort-merge join reuses this partitioning, a broadcast
+    # join gets a task per slice of cells instead of one per input file; AQE may merge small ones
+    lc = lc.repartition("_cx", "_cy", "_part")
     # one conjunction, cheapest test first: the optimizer keeps this order in the join condition
-    pairs = (lc.join(rc, ["_cx", "_cy"]).where(box & (a <= F.lit(a_max)) & (d <= F.lit(r_m)))
+    pairs = (lc.join(rc, ["_cx", "_cy", "_part"]).where(box & (a <= F.lit(a_max)) & (d <= F.lit(r_m)))
                .select(key, d.alias("_d")))
     agg = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_cars"), F.min("_d").alias("min_dist"),
                                  F.avg("_d").alias("avg_dist"))

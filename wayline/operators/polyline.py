@@ -1,4 +1,4 @@
-"""Compressed point paths: encode per point, decode with bucketed running sums.
+"""Compressed point paths in chunks of bounded point count, each decoded by itself.
 
 Format (per point, in path order): coordinates x 1e5 rounded; delta to the
 previous point (the first from 0, 0); zigzag of both deltas; the pair joined
@@ -10,16 +10,19 @@ writes nothing, so a repeated point disappears.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import with_previous
+from wayline.operators.ordered import numbered
 
 # Fixed values
 CODE_TABLE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
 PRECISION = 100000
 MAX_DIGITS = 13
 
+#: Points of a chunk.
+CHUNK_POINTS = 4096
+
 
 def _shr(x: Column, n: Column) -> Column:
     return F.call_function("shiftright", x, n)
@@ -57,35 +60,53 @@ def digits_text(idx: Column) -> Column:
     return F.concat(*parts)
 
 
-def encode_points(points: DataFrame, trip: str = "trip", order=("ts", "seq"),
-                  bucket: Column | None = None) -> DataFrame:
-    """Per point: its code piece ``(trip, order..., code)``; concatenated in order they
-    form the trip's text.  The previous point comes from ``with_previous``
-    (split by hour, so one long trip does not sit in one task)."""
-    order = list(order)
-    b = bucket if bucket is not None else F.date_trunc("hour", F.col(order[0]))
-    q = points.select(trip, *order,
-                      F.round(F.col("lat") * F.lit(float(PRECISION))).cast("bigint").alias("ilat"),
+def _chunked(points: DataFrame, trip: str, order: list[str], size: int) -> DataFrame:
+    """Points with their place ``pos`` in the trip, their chunk of ``size`` points and the
+    whole-number coordinates of the point before (``pa``, ``po``; null for a trip's first).
+
+    The last point of a chunk is copied into the next one, so each chunk knows
+    where it starts and nothing is joined.
+    """
+    q = points.select(trip, *order, F.round(F.col("lat") * F.lit(float(PRECISION))).cast("bigint").alias("ilat"),
                       F.round(F.col("lng") * F.lit(float(PRECISION))).cast("bigint").alias("ilng"))
-    p = with_previous(q, trip, order, ["ilat", "ilng"], bucket=b)
-    dx = F.col("ilat") - F.coalesce(F.col("prev_ilat"), F.lit(0))
-    dy = F.col("ilng") - F.coalesce(F.col("prev_ilng"), F.lit(0))
-    idx = pair_index(zigzag(dx), zigzag(dy))
-    return p.select(trip, *order, "ilat", "ilng", idx.alias("index"), digits_text(idx).alias("code"))
+    n = numbered(q, order, [trip], "pos")
+    own = F.floor((F.col("pos") - 1) / F.lit(size)).cast("bigint")
+    c = n.select("*", F.explode(F.when(F.col("pos") % size == 0, F.array(own, own + 1)).otherwise(F.array(own))).alias("chunk"), own.alias("_own"))
+    w = Window.partitionBy(trip, "chunk").orderBy("pos")
+    return c.select("*", F.lag("ilat").over(w).alias("pa"), F.lag("ilng").over(w).alias("po")).where(F.col("_own") == F.col("chunk")).drop("_own")
 
 
-def encode_polylines(points: DataFrame, trip: str = "trip", order=("ts", "seq")) -> DataFrame:
-    """Per trip: the full text.  Pieces are first joined per (trip, hour), then
-    the hour texts per trip, so ordering work is split before the final concat."""
+def _with_codes(chunked: DataFrame) -> DataFrame:
+    dx = F.col("ilat") - F.coalesce("pa", F.lit(0))
+    dy = F.col("ilng") - F.coalesce("po", F.lit(0))
+    return chunked.withColumn("index", pair_index(zigzag(dx), zigzag(dy))).withColumn("code", digits_text(F.col("index")))
+
+
+def encode_points(points: DataFrame, trip: str = "trip", order=("ts", "seq"), size: int = CHUNK_POINTS) -> DataFrame:
+    """Per point: its code piece ``(trip, order..., code)``; concatenated in order they
+    form the trip's text.  A long trip is spread over its chunks."""
     order = list(order)
-    e = encode_points(points, trip, order)
-    hour = F.date_trunc("hour", F.col(order[0]))
-    h = e.groupBy(trip, hour.alias("_h")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "code"))),
-                                 lambda s: s["code"]), "").alias("_t"))
-    return h.groupBy(trip).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_t"))),
-                                 lambda s: s["_t"]), "").alias("text"))
+    return _with_codes(_chunked(points, trip, order, size)).select(trip, *order, "ilat", "ilng", "index", "code")
+
+
+def encode_chunks(points: DataFrame, trip: str = "trip", order=("ts", "seq"), size: int = CHUNK_POINTS) -> DataFrame:
+    """``(trip, chunk, start_lat, start_lng, n, text)``: each trip cut into chunks of ``size`` points.
+
+    A chunk is decoded without the others: ``start_*`` is the point before its first
+    one, in whole 1e-5 degrees (0, 0 at the start of a trip).  The texts of a trip's
+    chunks, joined in order, are the trip's whole text.
+    """
+    e = _with_codes(_chunked(points, trip, list(order), size))
+    g = e.groupBy(trip, "chunk").agg(
+        F.min_by(F.struct("pa", "po"), "pos").alias("_s"), F.count(F.lit(1)).alias("n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda s: s["code"]), "").alias("text"))
+    return g.select(trip, "chunk", F.coalesce("_s.pa", F.lit(0)).alias("start_lat"), F.coalesce("_s.po", F.lit(0)).alias("start_lng"), "n", "text")
+
+
+def encode_polylines(points: DataFrame, trip: str = "trip", order=("ts", "seq"), size: int = CHUNK_POINTS) -> DataFrame:
+    """Per trip: the full text, the texts of its chunks joined (one value a trip, as the format has it)."""
+    return encode_chunks(points, trip, order, size).groupBy(trip).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda s: s["text"]), "").alias("text"))
 
 
 def unpair(e: Column) -> tuple[Column, Column]:
@@ -98,32 +119,40 @@ def unpair(e: Column) -> tuple[Column, Column]:
     return x, w - x
 
 
-def decode_polylines(df: DataFrame, trip: str = "trip", text: str = "text") -> DataFrame:
-    """``(trip, k, lat, lng)`` in path order, k from 1.
+def _decoded(df: DataFrame, key: list[str], text: str, start: tuple[Column, Column]) -> DataFrame:
+    """``(key..., k, lat, lng)`` of each text, k from 1, its deltas added to ``start``.
 
     Relational decoding, no array lambdas: characters are exploded with
     their position; running window functions give each character its
     number (terminal characters before it) and its digit place (distance to
     the last terminal before it); a group-by sums the digits of each number;
     a running window turns deltas into coordinates.  Every step is
-    partitioned by trip (one exchange): a trip's text is one row, decoded
-    by one task in any case, so this adds no skew beyond the format's own.
+    partitioned by the text's key (one exchange).
     """
-    from pyspark.sql import Window
-    chars = df.select(trip, F.posexplode(F.split(F.col(text), "")).alias("pos", "c")).where(F.col("c") != "")
+    chars = df.select(*key, start[0].alias("_a"), start[1].alias("_o"), F.posexplode(F.split(F.col(text), "")).alias("pos", "c")).where(F.col("c") != "")
     v = F.instr(F.lit(CODE_TABLE), F.col("c")) - 1
-    before = Window.partitionBy(trip).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    x = chars.select(trip, "pos", v.alias("v"))
+    before = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    x = chars.select(*key, "_a", "_o", "pos", v.alias("v"))
     term = F.col("v") < 32
-    x = x.select(trip, "pos", "v",
+    x = x.select(*key, "_a", "_o", "pos", "v",
                  F.coalesce(F.sum(term.cast("int")).over(before), F.lit(0)).alias("num"),
                  F.coalesce(F.max(F.when(term, F.col("pos"))).over(before), F.lit(-1)).alias("last_t"))
     place = (F.col("pos") - F.col("last_t") - 1).cast("int")
     digit = (F.col("v") - F.when(term, F.lit(0)).otherwise(F.lit(32))).cast("bigint")
-    nums = x.groupBy(trip, "num").agg(F.sum(_shl(digit, place * 5)).alias("_e"))
+    nums = x.groupBy(*key, "num").agg(F.sum(_shl(digit, place * 5)).alias("_e"), F.first("_a").alias("_a"), F.first("_o").alias("_o"))
     xx, yy = unpair(F.col("_e"))
-    d = nums.select(trip, (F.col("num") + 1).cast("bigint").alias("k"), unzigzag(xx).alias("dlat"),
-                    unzigzag(yy).alias("dlng"))
-    w = Window.partitionBy(trip).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return d.select(trip, "k", (F.sum("dlat").over(w) / F.lit(float(PRECISION))).alias("lat"),
-                    (F.sum("dlng").over(w) / F.lit(float(PRECISION))).alias("lng"))
+    d = nums.select(*key, "_a", "_o", (F.col("num") + 1).cast("bigint").alias("k"), unzigzag(xx).alias("dlat"), unzigzag(yy).alias("dlng"))
+    w = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return d.select(*key, "k", ((F.col("_a") + F.sum("dlat").over(w)) / F.lit(float(PRECISION))).alias("lat"),
+                    ((F.col("_o") + F.sum("dlng").over(w)) / F.lit(float(PRECISION))).alias("lng"))
+
+
+def decode_polylines(df: DataFrame, trip: str = "trip", text: str = "text") -> DataFrame:
+    """``(trip, k, lat, lng)`` in path order, k from 1.  A trip's whole text is one value and is
+    decoded by one task; ``decode_chunks`` spreads a trip."""
+    return _decoded(df, [trip], text, (F.lit(0), F.lit(0)))
+
+
+def decode_chunks(df: DataFrame, trip: str = "trip") -> DataFrame:
+    """``(trip, chunk, k, lat, lng)`` of ``encode_chunks``, k from 1 in each chunk; chunks are decoded apart."""
+    return _decoded(df, [trip, "chunk"], "text", (F.col("start_lat"), F.col("start_lng")))

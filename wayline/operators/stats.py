@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import RUN, totals_before
+from wayline.operators.ordered import RUN, numbered, totals_before
 
 
 def group_rows(df: DataFrame, key: str, order: Sequence[str], chunk: Column | None = None,
@@ -27,13 +27,22 @@ def group_rows(df: DataFrame, key: str, order: Sequence[str], chunk: Column | No
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias(out))
 
 
-def group_index(df: DataFrame, f: str, index_f: str, value: str) -> DataFrame:
-    """Two-level grouping ``f -> index_f -> [values]`` as ``map<index_f, array<value>>``.
+def group_index(df: DataFrame, f: str, index_f: str, value: str, page: int = 1024) -> DataFrame:
+    """Two-level grouping ``f -> index_f -> values`` as pages ``(f, index_f, page, values)``.
 
-    Every value lands in a flat list (no nesting on repeated collisions).
+    Values are in order; each page holds ``page`` of them (the last one fewer), so no
+    list grows with a key's rows.  ``index_directory`` says which pages a key has.
     """
-    inner = df.groupBy(f, index_f).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    return inner.groupBy(f).agg(F.map_from_entries(F.collect_list(F.struct(index_f, "_v"))).alias("index"))
+    src = df.select(f, index_f, value).withColumn("_tie", F.monotonically_increasing_id())
+    n = numbered(src, [value, "_tie"], [f, index_f], "_pos")
+    at = F.floor((F.col("_pos") - 1) / F.lit(page)).cast("bigint")
+    return n.groupBy(f, index_f, at.alias("page")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", value))), lambda s: s[value]).alias("values"))
+
+
+def index_directory(pages: DataFrame, f: str, index_f: str) -> DataFrame:
+    """``(f, index_f, pages, n)``: number of pages and of values of each key pair."""
+    return pages.groupBy(f, index_f).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size("values")).alias("n"))
 
 
 def sample_k(df: DataFrame, k: int, key: str, seed: str = "0", strata: str | None = None) -> DataFrame:

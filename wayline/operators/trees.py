@@ -1,14 +1,10 @@
 """Tree-ensemble scoring and per-feature attribution.
 
 A model is a table of nodes, laid out as flat arrays: one entry for each node
-of each tree, leaves pointing at themselves.  Rows walk all trees by index, so
-neither the plan nor the generated code grows with the model, and there is no
-join and no shuffle:
-
-* scores: the arrays are literals of one native expression;
-* attributions: the arrays travel with the task and whole Arrow batches walk a
-  tree one level at a time, adding the value change of each edge to the feature
-  that was tested there.
+of each tree, leaves pointing at themselves.  The arrays travel with the task and
+whole Arrow batches walk a tree one level at a time, so the plan does not grow with
+the model, and there is no join and no shuffle.  A score adds up the leaf values; an
+attribution adds the value change of each edge to the feature tested there.
 
 Values: missing is below ``MISSING_BELOW`` and goes to the node's default side; a
 null value goes right; a category is the value cut to an integer.
@@ -21,7 +17,7 @@ from typing import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,97 +81,75 @@ def read_model(nodes: DataFrame) -> Model:
         np.where(inner, number("internal_value"), number("leaf_value") / np.where(inner, 1.0, number("shrinkage"))), depth)
 
 
-def _literal(values, kind: str) -> Column:
-    """A constant array, folded to one literal by the optimizer whatever its length."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
-def _walker(model: Model):
-    """(values of a row, root) -> leaf, as a column function."""
-    feature, left, right = (_literal(x.tolist(), "int") for x in (model.feature, model.left, model.right))
-    threshold = _literal(map(repr, model.threshold.tolist()), "double")
-    default = _literal(model.default_left.astype(int).tolist(), "int")
-    member = _literal([int(bool(c)) for c in model.categories], "int")
-    categories = F.split(F.lit(",".join(model.categories)), ",")
-    levels = _literal(range(model.depth), "int")
+def _walk(model: Model):
+    """(rows of values, root) -> steps of (live rows, feature, node, next node), one level of the tree at a time for all rows."""
+    keys = np.array(sorted((i << 33) + int(c) for i, x in enumerate(model.categories) for c in x.split("|") if c), dtype=np.int64)
+    member = np.array([bool(c) for c in model.categories], dtype=bool)
 
-    def go(values: Column):
-        def step(node: Column, _: Column) -> Column:
-            # leaves point at themselves; feature -1 would be no index
-            v = values[F.greatest(feature[node], F.lit(0))]
-            cut = F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).try_cast("bigint")
-            wanted = F.concat(F.lit("|"), cut.cast("string"), F.lit("|"))
-            test = F.when(v < F.lit(MISSING_BELOW), default[node] == 1) \
-                .when(member[node] == 1, F.instr(categories[node], wanted) > 0).otherwise(~(v > threshold[node]))
-            return F.when(F.coalesce(test, F.lit(False)), left[node]).otherwise(right[node])
-        return lambda root: F.aggregate(levels, root, step) if model.depth else root
-    return go
+    def steps(x: np.ndarray, root: int):
+        rows, at = np.arange(len(x)), np.full(len(x), root)
+        for _ in range(model.depth):
+            f = model.feature[at]
+            live = f >= 0   # leaves point at themselves
+            if not live.any():
+                break
+            f = np.maximum(f, 0)
+            v = x[rows, f]
+            go_left = v <= model.threshold[at]   # false for null
+            m = np.flatnonzero(member[at] & live)
+            if len(m):
+                cut = np.trunc(v[m])
+                fits = np.abs(cut) < 2**31  # false for null
+                key = (at[m].astype(np.int64) << 33) + np.where(fits, cut, 0).astype(np.int64)
+                go_left[m] = fits & np.isin(key, keys)
+            go_left = np.where(v < MISSING_BELOW, model.default_left[at], go_left)
+            to = np.where(go_left, model.left[at], model.right[at])
+            yield live, f, at, to
+            at = to
+    return steps
+
+
+def _with_values(df: DataFrame, features: Sequence[str], names: Sequence[str], values) -> DataFrame:
+    """``df`` with columns ``names``, computed by ``values`` from whole batches of the features (nulls as nan)."""
+    n, width = len(df.columns), len(features)
+    schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in names])
 
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(n + i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(n)] + [pa.array(c) for c in values(x)], names=schema.names)
 
-def _total(walk, value: Column, roots: Column):
-    def total(values: Column) -> Column:
-        to_leaf = walk(values)
-        return F.aggregate(roots, F.lit(0.0), lambda acc, r: acc + value[to_leaf(r)])
-    return total
+    return df.select("*", *[F.col(c).cast("double").alias(f"_value{i}") for i, c in enumerate(features)]).mapInArrow(run, schema)
 
 
 def tree_score(df: DataFrame, model: Model, features: Sequence[str], num_class: int = 1,
                prefix: str = "score_") -> DataFrame:
     """Class score = sum of the leaf values of trees with ``tree_index mod num_class``."""
-    walk, value = _walker(model), _literal(map(repr, model.value.tolist()), "double")
-    row = F.array(*[F.col(c).cast("double") for c in features])
-    cols = []
-    for k in range(num_class):
-        roots = [int(r) for t, r in zip(model.trees, model.roots) if t % num_class == k]
-        if not roots:
-            cols.append(F.lit(0.0).alias(f"{prefix}{k}"))
-            continue
-        # one-element transform: the row's values are made once, not at every step
-        cols.append(F.transform(F.array(row), _total(walk, value, _literal(roots, "int")))[0].alias(f"{prefix}{k}"))
-    return df.select("*", *cols)
+    steps = _walk(model)
+
+    def scores(x: np.ndarray):
+        out = [np.zeros(len(x)) for _ in range(num_class)]
+        for tree, root in zip(model.trees, model.roots):
+            at = np.full(len(x), root)
+            for _, _, _, at in steps(x, root):
+                pass
+            out[tree % num_class] += model.value[at]
+        return out
+
+    return _with_values(df, features, [f"{prefix}{k}" for k in range(num_class)], scores)
 
 
 def tree_attribution(df: DataFrame, model: Model, features: Sequence[str],
                      prefix: str = "contrib_") -> DataFrame:
     """Per row and feature: the sum over trees of the value changes along the row's path."""
-    width, n = len(features), len(df.columns)
-    keys = np.array(sorted((i << 33) + int(c) for i, x in enumerate(model.categories) for c in x.split("|") if c), dtype=np.int64)
-    member = np.array([bool(c) for c in model.categories], dtype=bool)
+    steps = _walk(model)
 
-    def contributions(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), width))
-        rows = np.arange(len(x))
+    def contributions(x: np.ndarray):
+        out, rows = np.zeros((len(x), len(features))), np.arange(len(x))
         for root in model.roots:
-            at = np.full(len(x), root)
-            for _ in range(model.depth):
-                f = model.feature[at]
-                live = f >= 0
-                if not live.any():
-                    break
-                f = np.maximum(f, 0)
-                v = x[rows, f]
-                go_left = v <= model.threshold[at]
-                m = np.flatnonzero(member[at] & live)
-                if len(m):
-                    cut = np.trunc(v[m])
-                    fits = np.abs(cut) < 2**31  # false for null
-                    key = (at[m].astype(np.int64) << 33) + np.where(fits, cut, 0).astype(np.int64)
-                    go_left[m] = fits & np.isin(key, keys)
-                go_left = np.where(v < MISSING_BELOW, model.default_left[at], go_left)
-                to = np.where(go_left, model.left[at], model.right[at])
+            for live, f, at, to in steps(x, root):
                 out[rows, f] += np.where(live, model.level[to] - model.level[at], 0.0)
-                at = to
-        return out
-
-    names = [prefix + f for f in features] + [prefix + "total"]
-    schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in names])
+        return [*out.T, out.sum(axis=1)]
 
-    def run(batches):
-        for batch in batches:
-            x = np.column_stack([batch.column(n + i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)])
-            c = contributions(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(n)] + [pa.array(c[:, i]) for i in range(width)] + [pa.array(c.sum(axis=1))],
-                names=schema.names)
-
-    return df.select("*", *[F.col(c).cast("double").alias(f"_value{i}") for i, c in enumerate(features)]).mapInArrow(run, schema)
+    return _with_values(df, features, [prefix + f for f in features] + [prefix + "total"], contributions)

@@ -9,6 +9,7 @@ from wayline.functions import geo as g
 from wayline.operators import geo as og
 from wayline.operators import polyline as pl
 from wayline.operators.nearby import nearby_stats
+from wayline.operators.ordered import written
 from wayline.plans.oracle_fixtures import POINTS, haversine_sql
 from wayline.plans.q_sql import hex_sql
 
@@ -290,7 +291,38 @@ WITH {_ENC},
 SELECT trip, k, ilat / 100000e0 AS lat, ilng / 100000e0 AS lng FROM k
 """
 
+#: Points of a chunk in the two queries below: small, so trips have several chunks.
+CHUNK = 16
+
+
+def q_encode_chunks(spark, sf):
+    return pl.encode_chunks(fx.points(spark, sf), size=CHUNK)
+
+
+SQL_ENCODE_CHUNKS = f"""
+WITH {_ENC},
+p AS (SELECT *, row_number() OVER w AS pos, lag(ilat) OVER w AS pa, lag(ilng) OVER w AS po FROM c WINDOW w AS (PARTITION BY trip ORDER BY ts, seq))
+SELECT trip, CAST((pos - 1) // {CHUNK} AS BIGINT) AS chunk, coalesce(arg_min(coalesce(pa, 0), pos), 0) AS start_lat,
+       coalesce(arg_min(coalesce(po, 0), pos), 0) AS start_lng, count(*) AS n, string_agg(code, '' ORDER BY pos) AS text
+FROM p GROUP BY 1, 2
+"""
+
+
+def q_decode_chunks(spark, sf):
+    """Chunks written as a table and decoded again, each by itself."""
+    return pl.decode_chunks(written(pl.encode_chunks(fx.points(spark, sf), size=CHUNK), "chunks"))
+
+
+SQL_DECODE_CHUNKS = f"""
+WITH {_ENC},
+p AS (SELECT *, (row_number() OVER (PARTITION BY trip ORDER BY ts, seq) - 1) // {CHUNK} AS chunk FROM c),
+k AS (SELECT trip, CAST(chunk AS BIGINT) AS chunk, ilat, ilng, row_number() OVER (PARTITION BY trip, chunk ORDER BY ts, seq) AS k FROM p WHERE index <> 0)
+SELECT trip, chunk, k, ilat / 100000e0 AS lat, ilng / 100000e0 AS lng FROM k
+"""
+
 QUERIES = {
+    "encode_chunks": (q_encode_chunks, SQL_ENCODE_CHUNKS),
+    "decode_chunks": (q_decode_chunks, SQL_DECODE_CHUNKS),
     "parse_path": (q_parse_path, SQL_PARSE_PATH),
     "parse_polyline_text": (q_parse_polyline_text, SQL_PARSE_POLYLINE_TEXT),
     "lnglat_to_tile": (q_lnglat_to_tile, SQL_LNGLAT_TO_TILE),

@@ -87,6 +87,40 @@ FROM r LEFT JOIN ax ON ax.i = r.i
 """
 
 
+def q_certificate(spark, sf):
+    """A candidate pair over the matrix: suppliers' balances against row multipliers of the sign their relation asks."""
+    m = fx.matrix(spark, sf)
+    even = F.col("i") % 2 == 0
+    rhs = m.groupBy("i").agg((F.sum("v") * F.lit(1000.0)).alias("b")).select(
+        "i", F.when(even, F.lit("<=")).otherwise(F.lit(">=")).alias("rel"), "b")
+    y = rhs.select("i", (F.when(even, F.lit(1.0)).otherwise(F.lit(-1.0)) * (F.col("i") % 5) / F.lit(10.0)).alias("v"))
+    x = fx.vector(spark, sf)
+    c = x.select("j", (F.col("j") % 7 * F.lit(10.0) - F.lit(30.0)).alias("v"))
+    k = la.certificate(m, rhs, c, x, y, lo=0.0, hi=9000.0, tol=1e-6)
+    return k.select(*[F.round(n, 2).alias(n) if n in ("primal_objective", "dual_objective", "gap") else F.col(n) for n in k.columns])
+
+
+SQL_CERTIFICATE = f"""
+WITH m AS ({MATRIX}), x AS ({VECTOR}),
+r AS (SELECT i, CASE WHEN i % 2 = 0 THEN '<=' ELSE '>=' END AS rel, sum(v) * 1000e0 AS b FROM m GROUP BY i),
+y AS (SELECT i, CASE WHEN i % 2 = 0 THEN 1e0 ELSE -1e0 END * (i % 5) / 10e0 AS y FROM r),
+ax AS (SELECT m.i, sum(m.v * x.v) AS ax FROM m JOIN x ON x.j = m.j GROUP BY m.i),
+p AS (SELECT count_if(NOT CASE WHEN rel = '<=' THEN coalesce(ax, 0) <= b + 1e-6 ELSE coalesce(ax, 0) >= b - 1e-6 END) AS rows_broken,
+             count_if(NOT CASE WHEN rel = '<=' THEN y >= -1e-6 ELSE y <= 1e-6 END) AS y_wrong_sign, sum(b * y) AS dual_objective,
+             count_if(abs((b - coalesce(ax, 0)) * y) > 1e-6) AS rows_not_complementary
+      FROM r JOIN y ON y.i = r.i LEFT JOIN ax ON ax.i = r.i),
+ay AS (SELECT m.j, sum(m.v * y.y) AS ay FROM m JOIN y ON y.i = m.i GROUP BY m.j),
+k AS (SELECT x.j, x.v AS x, x.j % 7 * 10e0 - 30e0 AS c, coalesce(ay.ay, 0) AS ay FROM x LEFT JOIN ay ON ay.j = x.j),
+d AS (SELECT count_if(ay - c < -1e-6) AS columns_broken, count_if(x < 0 OR x > 9000e0) AS x_out_of_bounds, sum(c * x) AS primal_objective,
+             count_if(abs((ay - c) * x) > 1e-6) AS columns_not_complementary FROM k)
+SELECT CAST(rows_broken AS BIGINT) AS rows_broken, CAST(y_wrong_sign AS BIGINT) AS y_wrong_sign, CAST(columns_broken AS BIGINT) AS columns_broken,
+       CAST(x_out_of_bounds AS BIGINT) AS x_out_of_bounds, round(primal_objective, 2) AS primal_objective, round(dual_objective, 2) AS dual_objective,
+       round(dual_objective - primal_objective, 2) AS gap, CAST(rows_not_complementary AS BIGINT) AS rows_not_complementary,
+       CAST(columns_not_complementary AS BIGINT) AS columns_not_complementary, FALSE AS optimal
+FROM p, d
+"""
+
+
 def q_pair_counts(spark, sf):
     return la.pair_counts(table(spark, sf, "orders"), ["o_custkey"])
 
@@ -119,6 +153,7 @@ QUERIES = {
     "transpose": (q_transpose, SQL_TRANSPOSE),
     "flatten_matrix": (q_flatten_matrix, SQL_FLATTEN_MATRIX),
     "check_constraints": (q_check_constraints, SQL_CHECK_CONSTRAINTS),
+    "certificate": (q_certificate, SQL_CERTIFICATE),
     "pair_counts": (q_pair_counts, SQL_PAIR_COUNTS),
     "categorical_draw": (q_categorical_draw, SQL_CATEGORICAL_DRAW),
 }

@@ -137,23 +137,6 @@ SELECT CAST(l_returnflag = 'R' AS DOUBLE) AS label, l_quantity AS f0, l_discount
 """
 
 
-def _json_array_file(df, path):
-    """Write rows as one JSON array text file (the map pages read arrays).
-
-    Brackets are lines of their own and an empty array has only them.  Equal
-    records are counted, so exactly one record (the first copy of the smallest
-    text) has no comma before it; only the final single-file write is one task,
-    as the array format requires.
-    """
-    texts = df.select(F.to_json(F.struct(*df.columns)).alias("j")).groupBy("j").agg(F.count("*").alias("n"))
-    lines = texts.select(F.lit(1).alias("part"), "j", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("i"))
-    first = texts.agg(F.min("j")).scalar()
-    comma = F.when((F.col("j") == first) & (F.col("i") == 1), F.lit("")).otherwise(F.lit(","))
-    ends = df.sparkSession.createDataFrame([(0, "[", 0, "["), (2, "]", 0, "]")], "part int, j string, i bigint, value string")
-    (lines.withColumn("value", F.concat(comma, "j")).union(ends).repartition(1)
-     .sortWithinPartitions("part", "j", "i").select("value").write.text(path))
-
-
 def q_scan_points_csv(spark, sf):
     """Points written as ``lng,lat[,title]`` lines (blank line every 100th) and read back (#8)."""
     path = _dir(spark, "points-csv")
@@ -184,10 +167,10 @@ CASE_SCHEMA = T.StructType([
 
 
 def q_scan_cases_json(spark, sf):
-    """Cases written as one JSON array and read back as nested rows (#9)."""
+    """Cases written as JSON arrays, one per partition, and read back by line as nested rows (#9)."""
     path = _dir(spark, "cases-json")
-    _json_array_file(fx.cases(spark, sf).select("trip", "waybill_code", "count", "tjs"), path)
-    c = rd.scan_cases_json(spark, path, CASE_SCHEMA)
+    wr.write_json_arrays(fx.cases(spark, sf).select("trip", "waybill_code", "count", "tjs"), path)
+    c = rd.scan_json_arrays(spark, path, CASE_SCHEMA)
     return c.select("trip", "waybill_code", "count", F.size("tjs").alias("n_points"))
 
 
@@ -200,13 +183,13 @@ FROM points GROUP BY trip
 
 
 def q_scan_hex_json(spark, sf):
-    """The hex layer written as a JSON array (plus an empty-id record) and read back (#10)."""
+    """The hex layer written as JSON arrays (plus an empty-id record) and read back by line (#10)."""
     from wayline.operators.geo import hex_layer
     path = _dir(spark, "hex-json")
     layer = hex_layer(fx.points(spark, sf), 1000.0).select("HexID", "center", "polygeo", "color", "desc")
     bad = layer.limit(1).select(F.lit("").alias("HexID"), "center", "polygeo", "color", "desc")
-    _json_array_file(layer.union(bad), path)
-    h = rd.scan_hex_json(spark, path)
+    wr.write_json_arrays(layer.union(bad), path)
+    h = rd.scan_hex_json(spark, path, by_line=True)
     return h.select("HexID", "color", F.element_at("desc", 1).alias("desc"))
 
 

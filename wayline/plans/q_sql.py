@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from wayline import fixtures as fx
 from wayline.plans.oracle_fixtures import POINTS
-from wayline.plans.sql import Ident, batch_param_view, register_sql_functions, register_udf, sql_batch, \
-    sql_template
+from wayline.plans.sql import Ident, batch_param_view, register_sql_functions, register_udf, renamed, sql_batch, \
+    sql_template, udf
 from wayline.sources.tables import register_views
 
 # ---- #23 joins --------------------------------------------------------------
@@ -280,9 +280,7 @@ def q_collect_sql(spark, sf):
     from wayline.sources.readers import collect_sql
     register_views(spark, sf, ["orders"])
     text = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"
-    pdf = collect_sql(spark, text, echo=False)
-    assert list(pdf.columns) == ["o_orderstatus", "n"]
-    return spark.sql(text)
+    return spark.createDataFrame(collect_sql(spark, text, echo=False))   # three rows
 
 
 SQL_COLLECT_SQL = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"
@@ -303,6 +301,42 @@ SQL_UDF_SQL = ("SELECT l_returnflag, round(sum(least(greatest(l_discount, -0.05e
                "FROM lineitem GROUP BY l_returnflag")
 
 
+def q_udf_decorated_sql(spark, sf):
+    """A function registered by the decorator, and the same under another name, both called from SQL (#20)."""
+    @udf(spark, "double")
+    def wl_spread(a, b):
+        return None if a is None or b is None else a - b
+
+    gap = renamed("wl_gap", wl_spread)
+    register_udf(spark, gap.__name__, gap, "double")
+    assert wl_spread(3.0, 1.0) == gap(3.0, 1.0) == 2.0   # both stay callable
+    register_views(spark, sf, ["lineitem"])
+    return spark.sql("SELECT l_returnflag, round(sum(wl_spread(l_quantity, l_discount)), 2) AS spread, "
+                     "round(sum(wl_gap(l_tax, l_discount)), 2) AS gap FROM lineitem GROUP BY l_returnflag")
+
+
+SQL_UDF_DECORATED = ("SELECT l_returnflag, round(sum(l_quantity - l_discount), 2) AS spread, "
+                     "round(sum(l_tax - l_discount), 2) AS gap FROM lineitem GROUP BY l_returnflag")
+
+
+def q_sql_map_scalars(spark, sf):
+    """Map functions in the pass-through SQL (#29)."""
+    register_views(spark, sf, ["events"])
+    return spark.sql("""
+      SELECT event_id, size(m) AS n, m['k'] AS k, map_contains_key(m, 'x') AS has_x, array_join(map_keys(p), ',') AS keys,
+             transform_values(m, (a, v) -> v * 2)['k'] AS twice, size(map_filter(m, (a, v) -> v > 50)) AS n_large,
+             element_at(p, 'user') AS user_text, map_entries(p)[0].key AS first_key
+      FROM (SELECT event_id, from_json(props, 'map<string,int>') AS m,
+                   map('user', CAST(user_id AS STRING), 'type', event_type) AS p FROM events)""")
+
+
+SQL_MAP_SCALARS = """
+SELECT event_id, 1 AS n, k, FALSE AS has_x, 'user,type' AS keys, k * 2 AS twice, CAST(k > 50 AS INTEGER) AS n_large,
+       CAST(user_id AS VARCHAR) AS user_text, 'user' AS first_key
+FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+"""
+
+
 def q_json_array(spark, sf):
     register_views(spark, sf, ["events"])
     register_sql_functions(spark, ["json_array", "json_array_text"])
@@ -363,6 +397,8 @@ QUERIES = {
     "scan_sql": (q_scan_sql, SQL_SCAN_SQL),
     "collect_sql": (q_collect_sql, SQL_COLLECT_SQL),
     "udf_sql": (q_udf_sql, SQL_UDF_SQL),
+    "udf_decorated_sql": (q_udf_decorated_sql, SQL_UDF_DECORATED),
+    "sql_map_scalars": (q_sql_map_scalars, SQL_MAP_SCALARS),
     "json_array": (q_json_array, SQL_JSON_ARRAY),
     "proj_hex_sql": (q_proj_hex_sql, SQL_PROJ_HEX),
 }

@@ -25,17 +25,27 @@ FROM orders GROUP BY 1, 2
 
 
 def q_group_index(spark, sf):
-    o = table(spark, sf, "orders")
-    g = st.group_index(o, "o_custkey", "o_orderstatus", "o_orderkey")
-    x = g.select("o_custkey", F.explode("index").alias("status", "keys"))
-    return x.select("o_custkey", "status", F.size("keys").alias("n"),
-                    F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+    """Order keys by customer and status, in pages of four."""
+    g = st.group_index(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_orderkey", page=4)
+    return g.select("o_custkey", F.col("o_orderstatus").alias("status"), "page", F.size("values").alias("n"),
+                    F.array_join(F.transform("values", lambda k: k.cast("string")), ",").alias("keys"))
 
 
 SQL_GROUP_INDEX = """
-SELECT o_custkey, o_orderstatus AS status, CAST(count(*) AS INTEGER) AS n,
+WITH o AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) - 1) // 4 AS page FROM orders)
+SELECT o_custkey, o_orderstatus AS status, CAST(page AS BIGINT) AS page, CAST(count(*) AS INTEGER) AS n,
        string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys
-FROM orders GROUP BY 1, 2
+FROM o GROUP BY 1, 2, 3
+"""
+
+
+def q_index_directory(spark, sf):
+    g = st.group_index(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_orderkey", page=4)
+    return st.index_directory(g, "o_custkey", "o_orderstatus")
+
+
+SQL_INDEX_DIRECTORY = """
+SELECT o_custkey, o_orderstatus, CAST(ceil(count(*) / 4e0) AS BIGINT) AS pages, count(*) AS n FROM orders GROUP BY 1, 2
 """
 
 
@@ -200,6 +210,7 @@ FROM g CROSS JOIN h CROSS JOIN events e GROUP BY g.i, g.x, h.n, h.h
 QUERIES = {
     "group_rows": (q_group_rows, SQL_GROUP_ROWS),
     "group_index": (q_group_index, SQL_GROUP_INDEX),
+    "index_directory": (q_index_directory, SQL_INDEX_DIRECTORY),
     "sample_k": (q_sample_k, SQL_SAMPLE_K),
     "sample_k_strata": (q_sample_k_strata, SQL_SAMPLE_K_STRATA),
     "column_summary": (q_column_summary, SQL_COLUMN_SUMMARY),

@@ -129,6 +129,18 @@ def scan_cases_json(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def scan_json_arrays(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON array files with one record per line: each file, and each split of a file, is read apart.
+
+    Brackets and commas around a record are taken off its line; a line that is
+    no record then fails the job.  For arrays laid out otherwise use
+    ``scan_cases_json``, which reads a file as a whole.
+    """
+    bare = F.regexp_replace(F.col("value"), r"^[\[,\s]+|[,\]\s]+$", "")
+    lines = spark.read.text(path).select(bare.alias("j")).where(F.col("j") != "")
+    return lines.select(F.from_json("j", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 HEX_SCHEMA = T.StructType([
     T.StructField("HexID", T.StringType()),
     T.StructField("center", T.StringType()),
@@ -138,7 +150,9 @@ HEX_SCHEMA = T.StructType([
 ])
 
 
-def scan_hex_json(spark: SparkSession, path: str, schema: T.StructType = HEX_SCHEMA) -> DataFrame:
-    """Hex records ``{HexID, center, polygeo, color, desc[]}``; empty ids dropped."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+def scan_hex_json(spark: SparkSession, path: str, schema: T.StructType = HEX_SCHEMA, by_line: bool = False) -> DataFrame:
+    """Hex records ``{HexID, center, polygeo, color, desc[]}``; empty ids dropped.
+
+    ``by_line``: the arrays hold one record per line (``scan_json_arrays``)."""
+    df = (scan_json_arrays if by_line else scan_cases_json)(spark, path, schema)
     return df.where(F.col("HexID").isNotNull() & (F.col("HexID") != ""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,18 @@ def write_partitions(df: DataFrame, path: str, partition_cols, fmt: str = "parqu
         df = df.hint("rebalance", *partition_cols)
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_cols).format(fmt).save(path))
+
+
+def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rows as JSON array files, one per partition: a record on each line between
+    ``[`` and ``]``, so ``scan_json_arrays`` can read them by line."""
+    def frame(batches):
+        first = True
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + x for i, x in enumerate(lines)])], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(frame, "value string").write.mode(mode).text(path)
