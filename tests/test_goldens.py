@@ -159,9 +159,11 @@ def test_default_for_zero_bounds(spark):
 def test_sequence_padding(spark):
     from wayline.functions import sequence as sq
     df = spark.createDataFrame([([1, 2, 3, 4, 5, 6, 7],), ([3],)], "a array<int>")
-    r = df.select(sq.pad_sequence("a", 5).alias("p"), sq.one_hot_positions("a", 5).alias("o")).collect()
+    r = df.select(sq.pad_sequence("a", 5).alias("p"), sq.one_hot_positions("a", 8).alias("o")).collect()
     assert r[0]["p"] == [3, 4, 5, 6, 7] and r[1]["p"] == [3, 0, 0, 0, 0]
-    assert r[1]["o"][0] == [0, 0, 0, 1, 0] and all(sum(x) == 0 for x in r[1]["o"][1:])
+    assert r[1]["o"][0] == [0, 0, 0, 1, 0, 0, 0, 0] and all(sum(x) == 0 for x in r[1]["o"][1:])
+    with pytest.raises(Exception, match="does not fit"):   # 5, 6 and 7 are kept, and are no places of 0 to 4
+        df.select(sq.one_hot_positions("a", 5)).collect()
     m = spark.createDataFrame([([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]],)], "m array<array<double>>")
     out = m.select(sq.pad_matrix("m", 3).alias("x")).first()["x"]
     assert len(out) == 3 and all(len(r) == 4 for r in out) and out[2] == [0.0] * 4

@@ -5,8 +5,8 @@ import json
 import pytest
 
 from wayline.operators import vocab as vc
-from wayline.plans.q_sources import _json_array_file
 from wayline.sources import readers as rd
+from wayline.sources import writers as wr
 
 
 def test_line_numbers_follow_file_order(spark, tmp_path):
@@ -21,9 +21,9 @@ def test_line_numbers_follow_file_order(spark, tmp_path):
 @pytest.mark.parametrize("values", [[], [1], [1, 1, 2, 2, 0, 0]])
 def test_json_array_with_equal_records(spark, tmp_path, values):
     path = str(tmp_path / "a")
-    _json_array_file(spark.createDataFrame([(v,) for v in values], "a int"), path)
-    text = "".join(f.read_text() for f in sorted((tmp_path / "a").glob("part-*")))
-    assert [x["a"] for x in json.loads(text)] == sorted(values)
+    wr.write_json_arrays(spark.createDataFrame([(v,) for v in values], "a int"), path)
+    records = [x["a"] for f in (tmp_path / "a").glob("part-*") for x in json.loads(f.read_text())]
+    assert sorted(records) == sorted(values)
 
 
 def test_list_codes(spark):

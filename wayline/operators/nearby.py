@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import EARTH_RADIUS_M
+from wayline.operators.ordered import written
 
 # Fixed values
 METRES_PER_DEG_LAT_MIN = 110_000.0   # lower bound of the length of one degree of latitude
@@ -67,15 +68,16 @@ def nearby_stats(left: DataFrame, right: DataFrame, r_m: float, key: str = "oid"
     if dlng >= 180:  # a whole circle of latitude: each point once, on its shorter side
         box = box & (F.col("_rlng") - F.col("_lng") > -180) & (F.col("_rlng") - F.col("_lng") <= 180)
     d = F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
-    hot = (lc.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > cell_rows)
-           .select("_cx", "_cy", F.ceil(F.col("_c") / F.lit(cell_rows)).cast("int").alias("_parts")))
+    # written, so the planner knows its size: the copies of the right side are shuffled once more only if it is large
+    hot = written(lc.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > cell_rows)
+                  .select("_cx", "_cy", F.ceil(F.col("_c") / F.lit(cell_rows)).cast("int").alias("_parts")), "hot-cells")
     parts = F.coalesce("_parts", F.lit(1))
     lc = lc.join(hot, ["_cx", "_cy"], "left").withColumn(
         "_part", F.pmod(F.xxhash64(key, "_lng", "_lat"), parts).cast("int")).drop("_parts")
     rc = rc.join(hot, ["_cx", "_cy"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    # spread the probe side by cell part: a sort-merge join reuses this partitioning, a broadcast
-    # join gets a task per slice of cells instead of one per input file; AQE may merge small ones
-    lc = lc.repartition("_cx", "_cy", "_part")
+    # a fixed number of partitions: the work is in the pairs, so AQE, which measures bytes, would
+    # merge them into a few tasks; hot cells are dealt into parts above, so none needs splitting
+    lc = lc.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_cx", "_cy", "_part")
     # one conjunction, cheapest test first: the optimizer keeps this order in the join condition
     pairs = (lc.join(rc, ["_cx", "_cy", "_part"]).where(box & (a <= F.lit(a_max)) & (d <= F.lit(r_m)))
                .select(key, d.alias("_d")))

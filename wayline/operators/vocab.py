@@ -89,7 +89,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, spec: Mapping[str, tuple[str,
     ``spec`` maps an output column to ``(field, input column)``; the input may
     be a scalar or an array.  All columns go through one explode, one join with
     the vocabulary and one regroup by ``key`` (the row's unique key).  The other
-    columns travel on one row of the exploded form, so ``df`` is read once.
+    columns travel on one row of the exploded form, so ``df`` is read once: select
+    the ones to keep before.
     ``miss_id`` (1 for vocabularies from ``build_vocab``) saves looking the
     miss token up in the vocabulary.
     """

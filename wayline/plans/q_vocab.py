@@ -58,7 +58,7 @@ SQL_BUILD_VOCAB = f"WITH {VOCAB_SQL}\nSELECT field, token, id FROM vocab"
 
 def q_encode_tokens(spark, sf):
     vocab = train_vocab(spark, sf)
-    test = fx.sequences(spark, sf, TEST)
+    test = fx.sequences(spark, sf, TEST).select("seq_id", *FIELDS.values())
     spec = {"poi_ids": ("poi", "poi_id_sequence_app"), "g5_ids": ("grid5", "grid5_sequence_app"),
             "g6_ids": ("grid6", "grid6_sequence_app"), "g7_ids": ("grid7", "grid7_sequence_app"),
             "dept_id": ("dept", "grid_station_id"), "driver_id": ("driver", "driver_code")}
