@@ -201,3 +201,47 @@ def test_label_errors_and_digest(spark, sf):
     coded, got = vectorcodes.compress(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), rounds=1)
     assert vectorcodes.books_digest(got) == hashlib.sha256(",".join(str(c) for p in books for e in p for c in e).encode()).hexdigest()
     assert _sorted([(r.vec_id, r.label, bytes(r.code).hex(), r.error) for r in coded.collect()]) == _sorted(want)
+
+
+# operator 2: long texts in segments ----------------------------------------------
+
+def _plain_counts(start, move, emit, text):
+    """(log10 likelihood, expected moves) of one text of classes, state by state in plain Python."""
+    k = len(start)
+    a = [[start[i] * emit[i][text[0]] for i in range(k)]]
+    for x in text[1:]:
+        a.append([sum(a[-1][i] * move[i][j] for i in range(k)) * emit[j][x] for j in range(k)])
+    b = [[1.0] * k]
+    for x in text[:0:-1]:
+        b.insert(0, [sum(move[i][j] * emit[j][x] * b[0][j] for j in range(k)) for i in range(k)])
+    total = sum(a[-1])
+    moves = [[sum(a[t][i] * move[i][j] * emit[j][text[t + 1]] * b[t + 1][j] for t in range(len(text) - 1)) / total
+              for j in range(k)] for i in range(k)]
+    return np.log10(total), np.array(moves)
+
+
+def test_segments_give_the_plain_recursion():
+    from wayline.llm import lmscore
+    r = np.random.default_rng(1)
+    hmm = lmscore.Hmm(np.full(9, 1 / 9), states=3)
+    hmm.start, hmm.move = r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3)
+    n = np.array([0, 4, 1, 23, 8, 7, 0, 12])
+    code = r.integers(0, 8, n.sum()).astype(np.int32)
+    want = [_plain_counts(hmm.start, hmm.move, hmm.emit, [*(code[a:a + m] + 1), 0]) for a, m in zip(np.cumsum(n) - n, n)]
+    for size in (1, 4, 8, 1000):
+        s = lmscore.Segments(code, n, np.arange(1, 9), size)
+        assert np.allclose(s.score(hmm), [w[0] for w in want], atol=1e-10)
+        start, move, emit = s.expected(hmm, 9)
+        assert np.allclose(move, sum(w[1] for w in want), atol=1e-10)
+        assert abs(start.sum() - len(n)) < 1e-9 and np.allclose(emit.sum(axis=0), np.bincount(code + 1, minlength=9) + [len(n), *[0] * 8])
+
+
+def test_lm_scores_do_not_depend_on_segments(spark):
+    from wayline.llm import lmscore
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", f"w{i % 7}"]) for _ in range(r.randrange(0, 60)))) for i in range(30)]
+    rows += [(31, None), (32, ""), (None, "the cat"), (5, rows[5][1]), (5, rows[5][1]), (33, "mat " * 3000)]
+    whole, cut = ({(x.doc_id, x.n_tokens, x.base_score): x.score for x in lmscore.score(
+        _docs(spark, rows), F.col("doc_id") % 5 == 2, rounds=2, segment=size).collect()} for size in (1 << 20, 16))
+    assert whole.keys() == cut.keys() and len(whole) == 34
+    assert all(abs(whole[k] - cut[k]) < 1e-8 * max(1, abs(whole[k])) for k in whole)

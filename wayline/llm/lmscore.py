@@ -19,6 +19,12 @@ word of each shared class stands for all unknown ones), so probabilities sum to
    them; the driver, which only sees these bounded tables, re-estimates.
 4. The scaled forward recursion gives the exact log10 likelihood of each text.
 
+Long texts are cut into segments of ``SEGMENT`` words that run side by side: the
+product of a segment's step matrices says how it maps the states before it to those
+after it, a short chain over a text's segments gives each its first and last state
+vectors, and the recursion then starts from these.  The result is the same; the
+number of steps, and the memory of a task, don't grow with the longest text.
+
 Defined results: a null text is empty (its end token alone); without training
 rows every word is unknown and emissions are uniform; repeated rows are each
 scored; an empty table gives no rows; a null id is in training, and returned as it
@@ -38,8 +44,8 @@ from wayline.llm.textcode import SPACE_WORDS, Words, chunks, hash_spans
 
 STATES, ROUNDS = 6, 4
 TOP, SHARED, TAIL = 4096, 4096, 3
-#: Bytes of text in one block, and words that one matrix recursion holds.
-BLOCK_BYTES, MATRIX = 16 << 20, 1 << 18
+#: Bytes of text in one block, words that one matrix recursion holds, and words of a segment.
+BLOCK_BYTES, MATRIX, SEGMENT = 4 << 20, 1 << 18, 512
 
 BLOCK = "block long, ids array<long>, held array<boolean>, n array<int>, code binary, words array<binary>, counts array<long>"
 
@@ -73,11 +79,15 @@ def encode(docs: DataFrame) -> DataFrame:
                 first, code = first[order], rank[code]
                 held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 counts = np.bincount(code[~held[w.doc]], minlength=len(first)) if len(code) else np.zeros(0, dtype=np.int64)
-                row = {"block": [seq], "ids": [part.column(0).to_pylist()], "held": [held.tolist()], "n": [w.counts.tolist()],
-                       "code": [packed(code.astype("<i4"))], "words": [[w.word(i) for i in first]], "counts": [counts.tolist()]}
-                yield pa.RecordBatch.from_pydict(row, schema=pa.schema([
-                    ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n", pa.list_(pa.int32())),
-                    ("code", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]))
+                size = w.length[first]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                data = w.buf[np.repeat(w.start[first] - ends[:-1], size) + np.arange(ends[-1])]
+                words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(data)])
+                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], type=pa.int32()), a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([seq]), one(part.column(0).cast(pa.int64())), one(pa.array(held)), one(pa.array(w.counts.astype(np.int32))),
+                     pa.array([packed(code.astype("<i4"))], type=pa.binary()), one(words), one(pa.array(counts))],
+                    names=["block", "ids", "held", "n", "code", "words", "counts"])
                 seq += 1
     return docs.mapInArrow(run, BLOCK)
 
@@ -117,30 +127,39 @@ class Hmm:
         e = unigram * np.exp(r.standard_normal((states, len(unigram))))
         self.emit = e / e.sum(axis=1, keepdims=True)
 
-    def forward(self, x: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forward(self, x: np.ndarray, on: np.ndarray, before: np.ndarray | None = None,
+                first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward variables (T, B, K), scales (T, B) and emissions of classes x (T, B).
 
-        Texts stand by falling length, so those still running at a step are the first ones.
+        Columns stand by falling length, so those still running at a step are the first
+        ones.  A column that isn't the ``first`` of its text goes on from the states ``before``.
         """
-        e = self.emit.T[x]
+        e = np.take(np.ascontiguousarray(self.emit.T), x, axis=0)
         a = np.zeros_like(e)
         scale = np.ones(x.shape)
+        begin = self.start if before is None else np.where(first[:, None], self.start, before @ self.move)
         for t, m in enumerate(on.sum(axis=1).tolist()):
-            p = (self.start if t == 0 else a[t - 1, :m] @ self.move) * e[t, :m]
+            p = (begin if t == 0 else a[t - 1, :m] @ self.move) * e[t, :m]
             s = p.sum(axis=1)
             scale[t, :m] = s
             np.divide(p, s[:, None], out=a[t, :m])
         return a, scale, e
 
-    def expected(self, x: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (start, move, posteriors) of one matrix of texts."""
-        a, scale, e = self.forward(x, on)
+    def expected(self, x: np.ndarray, on: np.ndarray, before: np.ndarray | None = None, first: np.ndarray | None = None,
+                 after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts (start, move, posteriors) of one matrix of texts or segments.
+
+        ``after`` is, up to a factor, the probability of what follows a column from each state.
+        """
+        a, scale, e = self.forward(x, on, before, first)
         k = len(self.start)
         b = np.ones((x.shape[1], k))
+        running = on.sum(axis=1).tolist()
+        if after is not None:
+            b[:] = after / (a[on.sum(axis=0) - 1, np.arange(x.shape[1])] * after).sum(axis=1, keepdims=True)
         move = np.zeros((k, k))
         post = np.zeros_like(a)
         back = self.move.T
-        running = on.sum(axis=1).tolist()
         e /= scale[:, :, None]
         for t in range(len(x) - 1, -1, -1):
             m = running[t]
@@ -149,7 +168,22 @@ class Hmm:
                 nb = e[t, :m] * b[:m]
                 move += a[t - 1, :m].T @ nb
                 b[:m] = nb @ back
-        return post[0].sum(axis=0), move * self.move, post
+        if before is None:
+            return post[0].sum(axis=0), move * self.move, post
+        nb = e[0] * b
+        move += before[~first].T @ nb[~first]
+        return post[0][first].sum(axis=0), move * self.move, post
+
+    def product(self, x: np.ndarray, on: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Per column (B, K, K): states before to states after the column, up to a factor."""
+        k, n = len(self.start), x.shape[1]
+        e = np.take(np.ascontiguousarray(self.emit.T), x, axis=0)
+        a = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+        a[~first] = self.move
+        for t, m in enumerate(on.sum(axis=1).tolist()):
+            p = (a[:m] if t == 0 else (a[:m].reshape(-1, k) @ self.move).reshape(m, k, k)) * e[t, :m, None, :]
+            np.divide(p, p.sum(axis=(1, 2), keepdims=True), out=a[:m])
+        return a
 
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         """M step; emissions lean on the class unigram by 50 words, so no probability is 0."""
@@ -158,21 +192,77 @@ class Hmm:
         self.emit = (emit + 50 * self.unigram) / (emit.sum(axis=1, keepdims=True) + 50)
 
 
-def matrices(code: np.ndarray, n: np.ndarray, cls: np.ndarray):
-    """(documents, classes (T, B), where they are): texts of one block, each with its end, by falling length."""
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    order = np.argsort(-n, kind="stable")
-    at = 0
-    while at < len(order):
-        t = int(n[order[at]]) + 1
-        own = order[at:at + max(1, MATRIX // t)]
-        place = np.arange(t)[:, None]
-        on = place <= n[own][None, :]
-        inside = place < n[own][None, :]
-        x = np.zeros((t, len(own)), dtype=np.int32)
-        x[inside] = cls[code[(first[own][None, :] + place)[inside]]]
-        yield own, x, on
-        at += len(own)
+class Segments:
+    """The texts of one block, each with its end, cut into segments of at most ``size`` words."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, cls: np.ndarray, size: int = SEGMENT):
+        self.code, self.n, self.cls = code, n, cls
+        parts = n // size + 1  # a text has its end besides its n words
+        self.text = np.repeat(np.arange(len(n)), parts)
+        head = np.concatenate([[0], np.cumsum(parts)[:-1]])
+        self.number = np.arange(len(self.text)) - np.repeat(head, parts)
+        self.first = self.number == 0
+        self.several = np.flatnonzero(parts[self.text] > 1)
+        self.at = np.concatenate([[0], np.cumsum(n)[:-1]])[self.text] + self.number * size
+        self.words = np.minimum(n[self.text] - self.number * size, size)  # 0 where the end stands alone
+        self.length = self.words + (self.number == parts[self.text] - 1)
+
+    def matrices(self, which: np.ndarray):
+        """(segments, classes (T, B), where they are) of the segments ``which``, by falling length."""
+        order = which[np.argsort(-self.length[which], kind="stable")]
+        at = 0
+        while at < len(order):
+            t = int(self.length[order[at]])
+            own = order[at:at + max(1, MATRIX // t)]
+            place = np.arange(t)[:, None]
+            inside = place < self.words[own][None, :]
+            x = np.zeros((t, len(own)), dtype=np.int32)
+            x[inside] = self.cls[self.code[(self.at[own][None, :] + place)[inside]]]
+            yield own, x, place < self.length[own][None, :]
+            at += len(own)
+
+    def ends(self, hmm: Hmm) -> tuple[np.ndarray, np.ndarray]:
+        """(states before, weights after) of every segment."""
+        k = len(hmm.start)
+        before, after = np.zeros((len(self.text), k)), np.ones((len(self.text), k))
+        if not len(self.several):
+            return before, after
+        step = np.zeros((len(self.text), k, k))
+        for own, x, on in self.matrices(self.several):
+            step[own] = hmm.product(x, on, self.first[own])
+        by_number = self.several[np.argsort(self.number[self.several], kind="stable")]
+        cut = np.searchsorted(self.number[by_number], np.arange(1, self.number.max() + 1))
+        for own in np.split(by_number, cut)[1:]:
+            v = np.where(self.first[own - 1, None], hmm.start, before[own - 1])
+            v = np.einsum("bi,bij->bj", v, step[own - 1])
+            before[own] = v / v.sum(axis=1, keepdims=True)
+        for own in np.split(by_number, cut)[:0:-1]:
+            v = np.einsum("bij,bj->bi", step[own], after[own])
+            after[own - 1] = v / v.sum(axis=1, keepdims=True)
+        return before, after
+
+    def score(self, hmm: Hmm) -> np.ndarray:
+        """log10 likelihood of the classes of each text."""
+        before, _ = self.ends(hmm)
+        out = np.zeros(len(self.n))
+        for own, x, on in self.matrices(np.arange(len(self.text))):
+            _, scale, _ = hmm.forward(x, on, before[own], self.first[own])
+            out += np.bincount(self.text[own], weights=np.log10(scale).sum(axis=0), minlength=len(out))
+        return out
+
+    def expected(self, hmm: Hmm, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts (start, move, emissions) of the block."""
+        k = len(hmm.start)
+        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, kinds))
+        before, after = self.ends(hmm)
+        for own, x, on in self.matrices(np.arange(len(self.text))):
+            s, m, post = hmm.expected(x, on, before[own], self.first[own], after[own])
+            start += s
+            move += m
+            at, weight = x[on], post[on]
+            for j in range(k):
+                emit[j] += np.bincount(at, weights=weight[:, j], minlength=kinds)
+        return start, move, emit
 
 
 def _block(batch: pa.RecordBatch, i: int):
@@ -195,7 +285,7 @@ def _classed(blocks: DataFrame, classes) -> DataFrame:
     return written(blocks.select("n", "held", "code", "words").mapInArrow(run, "n array<int>, cls binary"), "classed")
 
 
-def _gather(classed: DataFrame, model, kinds: int) -> DataFrame:
+def _gather(classed: DataFrame, model, kinds: int, segment: int) -> DataFrame:
     """Expected counts of one round, summed over all tasks: rows (slot, v)."""
     def run(batches):
         hmm = model.value
@@ -205,13 +295,8 @@ def _gather(classed: DataFrame, model, kinds: int) -> DataFrame:
             for i in range(batch.num_rows):
                 n = np.array(batch.column(0)[i].as_py(), dtype=np.int64)
                 code = unpacked(batch.column(1)[i].as_py(), int(n.sum()), "<i2")
-                for _, x, on in matrices(code, n, np.arange(kinds)):
-                    s, m, post = hmm.expected(x, on)
-                    start += s
-                    move += m
-                    at, weight = x[on], post[on]
-                    for j in range(k):
-                        emit[j] += np.bincount(at, weights=weight[:, j], minlength=kinds)
+                for total, got in zip((start, move, emit), Segments(code, n, np.arange(kinds), segment).expected(hmm, kinds)):
+                    total += got
         flat = np.concatenate([start, move.ravel(), emit.ravel()])
         slot = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(flat[slot])], names=["slot", "v"])
@@ -219,7 +304,8 @@ def _gather(classed: DataFrame, model, kinds: int) -> DataFrame:
     return classed.mapInArrow(run, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v"))
 
 
-def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS,
+          segment: int = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     coded = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held"),
@@ -252,7 +338,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "te
     classed = _classed(blocks, classes)
     for _ in range(rounds if tokens else 0):
         model = spark.sparkContext.broadcast(hmm)
-        got = _gather(classed, model, g).toArrow()  # at most k + k * k + k * g rows
+        got = _gather(classed, model, g, segment).toArrow()  # at most k + k * k + k * g rows
         flat = np.zeros(k + k * k + k * g)
         flat[got.column("slot").to_numpy()] = got.column("v").to_numpy()
         hmm.update(flat[:k], flat[k:k + k * k].reshape(k, k), flat[k + k * k:].reshape(k, g))
@@ -281,10 +367,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "te
                 offs = np.concatenate([[0], np.cumsum(n)])
                 by_doc = lambda x: (lambda run: run[offs[1:]] - run[offs[:-1]])(np.concatenate([[0.0], np.cumsum(x[code])]))
                 base = by_doc(log_c - norm) + per_end - norm
-                exact = by_doc(inner)
-                for own, x, on in matrices(code, n, cls):
-                    _, scale, _ = hmm.forward(x, on)
-                    exact[own] += np.log10(scale).sum(axis=0)
+                exact = by_doc(inner) + Segments(code, n, cls, segment).score(hmm)
                 m = len(n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index("ids"))[i].values, pa.array(held), pa.array(n + 1),
