@@ -199,11 +199,10 @@ class Segments:
         self.code, self.n, self.cls = code, n, cls
         parts = n // size + 1  # a text has its end besides its n words
         self.text = np.repeat(np.arange(len(n)), parts)
-        head = np.concatenate([[0], np.cumsum(parts)[:-1]])
-        self.number = np.arange(len(self.text)) - np.repeat(head, parts)
+        self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(parts) - parts, parts)
         self.first = self.number == 0
         self.several = np.flatnonzero(parts[self.text] > 1)
-        self.at = np.concatenate([[0], np.cumsum(n)[:-1]])[self.text] + self.number * size
+        self.at = (np.cumsum(n) - n)[self.text] + self.number * size
         self.words = np.minimum(n[self.text] - self.number * size, size)  # 0 where the end stands alone
         self.length = self.words + (self.number == parts[self.text] - 1)
 
