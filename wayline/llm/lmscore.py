@@ -45,7 +45,7 @@ from wayline.llm.textcode import SPACE_WORDS, Words, chunks, hash_spans
 STATES, ROUNDS = 6, 4
 TOP, SHARED, TAIL = 4096, 4096, 3
 #: Bytes of text in one block, words that one matrix recursion holds, and words of a segment.
-BLOCK_BYTES, MATRIX, SEGMENT = 4 << 20, 1 << 18, 512
+BLOCK_BYTES, MATRIX, SEGMENT = 6 << 20, 1 << 18, 512
 
 BLOCK = "block long, ids array<long>, held array<boolean>, n array<int>, code binary, words array<binary>, counts array<long>"
 
@@ -342,15 +342,18 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "te
         flat[got.column("slot").to_numpy()] = got.column("v").to_numpy()
         hmm.update(flat[:k], flat[k:k + k * k].reshape(k, k), flat[k + k * k:].reshape(k, g))
     drop_written(classed)
-    final = spark.sparkContext.broadcast((hmm, np.log10(size[0] + size[1] + 1)))
+    # the counts of the frequent words (TOP at most) travel with the model, those of all others through a join
+    final = spark.sparkContext.broadcast((hmm, np.log10(size[0] + size[1] + 1), np.array([0] + [c for _, c in frequent], dtype=np.int64)))
+    own = spark.createDataFrame([(bytearray(w),) for w, _ in frequent], "word binary")
     # the counts of a block's words, in one row: as many as the block has words
-    known = (listed.select("block", "pos", F.col("w.words").alias("word")).join(vocab, "word").groupBy("block")
+    known = (listed.select("block", "pos", F.col("w.words").alias("word")).join(F.broadcast(own), "word", "left_anti")
+             .join(vocab, "word").groupBy("block")
              .agg(F.collect_list(F.struct(F.col("pos").alias("pos"), F.col("c").alias("c"))).alias("known")))
     per_end = np.log10(ends + 1.0)
     norm = np.log10(float(tokens + 1 * (different + 1)))
 
     def run(batches):
-        hmm, class_norm = final.value
+        hmm, class_norm, often = final.value
         cl = classes.value
         for batch in batches:
             for i in range(batch.num_rows):
@@ -361,6 +364,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "te
                     v = got.values
                     c[v.field("pos").to_numpy()] = v.field("c").to_numpy()
                 cls = cl.of(words)
+                c = np.where(cls < cl.shared, often[np.minimum(cls, len(often) - 1)], c)
                 log_c = np.log10(c + 1.0)
                 inner = np.where(cls >= cl.shared, log_c - class_norm[cls], 0.0) if len(words) else np.zeros(0)
                 offs = np.concatenate([[0], np.cumsum(n)])
