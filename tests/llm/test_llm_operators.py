@@ -302,8 +302,7 @@ def test_packing_ids_are_the_tokenizers_own():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = ["<|endoftext|> 's 'll", "", None, "x" * 5000, " \n \n  a'REa're ", "été 日本 don't  stop"]
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|> 's 'll", "", None, "x" * 5000, " \n \n  a'REa're ", "été 日本 don't  stop"]
     for _ in range(2):  # new words, then known ones
         got = packing.encoder(path).encode(pa.array(texts))
         assert [g.tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]

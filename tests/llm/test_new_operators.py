@@ -245,3 +245,13 @@ def test_lm_scores_do_not_depend_on_segments(spark):
         _docs(spark, rows), F.col("doc_id") % 5 == 2, rounds=2, segment=size).collect()} for size in (1 << 20, 16))
     assert whole.keys() == cut.keys() and len(whole) == 34
     assert all(abs(whole[k] - cut[k]) < 1e-8 * max(1, abs(whole[k])) for k in whole)
+
+
+def test_redaction_keeps_columns_with_any_name(spark):
+    from wayline.llm import pii
+    names = ["base", "spans", "cand", "more", "_t", "row", "found", "kind"]
+    text = "write to jane.doe@example.org now"
+    df = spark.createDataFrame([(1, text, *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert pii.redact(df).columns == df.columns and all(got[i][c] == c for i in (1, 2) for c in names)
+    assert got[1].text == "write to <email> now" and got[2].text is None

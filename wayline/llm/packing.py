@@ -35,6 +35,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,8 +113,9 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their names in a text are ordinary text
+        self.tok, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # the split never cuts at their names
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -130,6 +132,16 @@ class WordEncoder:
         self.keys, self.row = np.insert(self.keys, place, keys), np.insert(self.row, place, rows)
 
     def encode(self, col: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; one that holds the name of an added token is encoded as a whole."""
+        out = self._by_word(col)
+        special = np.zeros(len(col), dtype=bool)
+        for name in self.added:
+            special |= pc.match_substring(col.cast(pa.large_string()), name).fill_null(False).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(special).tolist():
+            out[i] = np.array(self.whole.encode(col[i].as_py(), add_special_tokens=False).ids, dtype="<u4")
+        return out
+
+    def _by_word(self, col: pa.Array) -> list[np.ndarray]:
         buf, offs = buffer_of(col)
         start = split(buf, offs[:-1][np.diff(offs) > 0])
         if not len(start):

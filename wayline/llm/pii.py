@@ -262,8 +262,9 @@ def _text_of(spans: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping spans count once."""
-    df = find_spans(docs, text)
-    t = F.col(text)
+    # the input's columns travel in one struct, so none clashes with a work column
+    df = find_spans(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")))
+    t = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc: Column, x: Column) -> Column:
@@ -272,7 +273,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), put.alias("out"))
 
     end = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return df.withColumn(text, F.when(F.size("spans") > 0, end).otherwise(t)).drop("base", "spans")
+    clean = F.when(F.size("spans") > 0, end).otherwise(t)
+    return df.select(*[(clean if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
