@@ -3,6 +3,7 @@
 import bisect
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayline.operators.asof import as_of
@@ -34,7 +35,18 @@ def _brute(left, right, strict):
     return out
 
 
-def test_as_of_is_brute_force_with_a_hot_key(spark):
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_as_of_is_brute_force_with_a_hot_key(spark, merged):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"   # "false": small tables have several runs
+    old = spark.conf.get(name)
+    spark.conf.set(name, merged)
+    try:
+        _check_as_of(spark)
+    finally:
+        spark.conf.set(name, old)
+
+
+def _check_as_of(spark):
     left, right = _sides()
     a = spark.createDataFrame(left, "id long, k int, t long").repartition(3)
     b = spark.createDataFrame(right, "k int, rt long, n long, s string").repartition(3)

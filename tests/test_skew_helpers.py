@@ -1,5 +1,6 @@
 """The bucketed ordered helpers agree with plain windows, also with one hot key."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def test_rolling_features_halo(spark):
     assert r.select("o", "online_n30min").exceptAll(b).count() == 0
 
 
-def test_numbered_matches_row_number(spark):
+def test_numbered_matches_row_number(spark, many_runs):
     from wayline.operators.ordered import numbered
     df = _frame(spark).withColumn("name", F.concat(F.lit("n"), F.md5(F.col("o").cast("string"))))
     for order, key in ((["name"], ["k"]), (["ts", "o"], ["k"]), ([F.col("o").desc()], ["k"]), (["name"], [])):
@@ -69,7 +70,17 @@ def test_batches_by_text_with_a_hot_shard(spark):
     assert shards.where("m <> c").count() == 0
 
 
-def test_merged_segments_match_plain_windows_with_a_third_on_one_trip(spark):
+@pytest.fixture
+def many_runs(spark):
+    """Small partitions are not merged, so small tables have several runs."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, old)
+
+
+def test_merged_segments_match_plain_windows_with_a_third_on_one_trip(spark, many_runs):
     from wayline.functions.geo import haversine_m
     from wayline.operators.ordered import RUN
     from wayline.operators.trajectory import path_segments, trajectory_stats, trip_summary
