@@ -31,8 +31,8 @@ def runs(df: DataFrame, key, order) -> DataFrame:
     """``df`` range-partitioned by key and order, with its run (partition) number in ``_run``.
 
     Rows of one run are consecutive in ``(key, order)``, and run numbers grow with
-    it; AQE may merge neighbouring small ones.  The number stands for the rows of one evaluation of the plan only: use it
-    in the same plan, or write the table.
+    it; AQE may merge neighbouring small ones.  The number stands for one evaluation
+    of the plan only: use it in the same plan, or write the table.
     """
     return df.repartitionByRange(*_cols(key), *_cols(order)).withColumn(RUN, F.spark_partition_id())
 
