@@ -1,17 +1,23 @@
 """Nearest neighbours by a block matrix join with int8 tiles (operator 5).
 
-Vectors are quantised to int8 with a scale of their own; the norm of what is
-lost bounds the error of every distance.  Tiles of candidates meet blocks of
-queries through an equi-join on the block number.  A tile product gives all
-quantised distances at once; a candidate survives if its lower bound does not
-exceed the k-th smallest upper bound of the query so far.  Survivors are computed
-in double precision from the original vectors and merged in heaps: first inside
-the task, then per query.  The result is exact.
+Candidates are gathered into tiles, tiles dealt in turn into groups of bounded
+size, and each tile is shipped once, to its group.  Blocks of queries are copied to
+every group (an equi-join on the group number), so the bytes moved are those of the
+vectors plus those of the queries times the number of groups.  Vectors are quantised
+to int8 with a scale of their own; the norm of what is lost bounds the error of every
+distance.  A tile product gives all quantised distances at once; a candidate survives
+if its lower bound does not exceed the k-th smallest upper bound of the query so far.
+Survivors are computed in double precision from the original vectors, which the tile
+holds as well: copies of one vector tie within any bound, and only the exact distance
+and id tell, inside the task, which of them to drop.  They are merged in heaps in the
+task, then per query.  The result is exact.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows with a null id; vectors of other lengths
 are never compared; rows with the query's own id are not its neighbours; repeated
-rows are candidates each; an empty table gives no rows; other columns play no part.
+rows are candidates each, and a repeated query is asked once (with its smallest vector);
+distances whose squares overflow are computed after scaling; an empty table gives no
+rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,65 +27,88 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wayline.llm.common import table
 
-#: Candidates of a tile and queries of a block: what a task holds at a time.
-TILE, BLOCK = 4096, 1024
+#: Candidates of a tile and queries of a block at most (fewer if vectors are long): what a task holds at a time.
+TILE, BLOCK, NUMBERS = 1024, 1024, 1 << 17
+#: Candidates of a group: as many as keep all tasks busy, within these bounds.
+SMALL_GROUP, LARGE_GROUP = 2048, 65536
+#: Queries whose heaps a task holds before it hands them on.
+HELD = 16384
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int8 values, scales, norms of the quantisation errors) of rows of doubles."""
-    scale = np.abs(x).max(axis=1) / 127
+    scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(float).tiny)
     q = np.rint(x / scale[:, None])
     return q.astype(np.int8), scale, np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1)) * (1 + 1e-12)
 
 
-def _tiles(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v, dim) gathered into tiles (dim, ids, raw)."""
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` from ``y``; scaled first where squares overflow."""
+    diff = x - y
+    out = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
+    for i in np.flatnonzero(~np.isfinite(out)):
+        most = np.abs(diff[i]).max()
+        if np.isfinite(most):
+            out[i] = most * np.sqrt(np.cumsum((diff[i] / most) ** 2)[-1])
+    return out
+
+
+def _tiles(rows: DataFrame, groups: int) -> DataFrame:
+    """Rows (id, v, dim) gathered into tiles (g, dim, ids, raw), dealt in turn to the groups."""
     def run(batches):
+        n = TaskContext.get().partitionId()
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for d in np.unique(dims):
                 own = batch.filter(pa.array(dims == d))
+                size = max(1, min(TILE, NUMBERS // int(d)))
                 for at in range(0, own.num_rows, size):
                     part = own.slice(at, size)
                     raw = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(d)], type=pa.int32()), pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], type=pa.binary()),
-                         pa.array([raw.tobytes()], type=pa.binary())], names=["dim", "ids", "raw"])
-    return rows.select("id", "v", "dim").mapInArrow(run, "dim int, ids binary, raw binary")
+                        [pa.array([n % groups], type=pa.int32()), pa.array([int(d)], type=pa.int32()),
+                         pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], type=pa.binary()),
+                         pa.array([raw.tobytes()], type=pa.binary())], names=["g", "dim", "ids", "raw"])
+                    n += 1
+    return rows.select("id", "v", "dim").mapInArrow(run, "g int, dim int, ids binary, raw binary")
 
 
 def _join_tile(best: dict, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, y: np.ndarray, k: int) -> None:
     """Merge the k nearest of one tile into the heaps (of negated distance and id) of one block's queries."""
-    qx, sx, ex = quantise(x)
-    qy, sy, ey = quantise(y)
-    exact = np.float32 if x.shape[1] <= 1024 else np.float64  # integer sums stay exact
-    dot = (qy.astype(exact) @ qx.astype(exact).T).astype(np.float64) * (sy[:, None] * sx[None, :])
-    nx = ((qx.astype(np.float64) * sx[:, None]) ** 2).sum(axis=1)
-    ny = ((qy.astype(np.float64) * sy[:, None]) ** 2).sum(axis=1)
-    near = np.sqrt(np.maximum(ny[:, None] + nx[None, :] - 2 * dot, 0))
-    error = ey[:, None] + ex[None, :] + 1e-6 * np.sqrt(ny[:, None] + nx[None, :])  # and rounding
-    upper = near + error
-    upper[qids[:, None] == ids[None, :]] = np.inf
-    limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(qids), np.inf)
-    for i, q in enumerate(qids.tolist()):
-        heap = best.setdefault(q, [])
-        most = min(limit[i], -heap[0][0]) if len(heap) == k else limit[i]
-        pick = np.flatnonzero((near[i] - error[i] <= most) & (ids != q))
-        if not len(pick):
-            continue
-        diff = x[pick] - y[i]
-        for d, v in zip(np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1]).tolist(), ids[pick].tolist()):
-            item = (-d, -v)
-            if len(heap) < k:
-                heapq.heappush(heap, item)
-            elif item > heap[0]:
-                heapq.heapreplace(heap, item)
+    with np.errstate(over="ignore", invalid="ignore"):
+        qx, sx, ex = quantise(x)
+        qy, sy, ey = quantise(y)
+        exact = np.float32 if x.shape[1] <= 1024 else np.float64  # integer sums stay exact
+        dot = (qy.astype(exact) @ qx.astype(exact).T).astype(np.float64) * (sy[:, None] * sx[None, :])
+        nx = ((qx.astype(np.float64) * sx[:, None]) ** 2).sum(axis=1)
+        ny = ((qy.astype(np.float64) * sy[:, None]) ** 2).sum(axis=1)
+        near = np.sqrt(np.maximum(ny[:, None] + nx[None, :] - 2 * dot, 0))
+        error = ey[:, None] + ex[None, :] + 1e-6 * np.sqrt(ny[:, None] + nx[None, :]) + 1e-150  # and rounding
+        upper, lower = near + error, near - error
+        # bounds that overflow say nothing
+        vague = ~(np.isfinite(upper) & np.isfinite(lower))
+        upper[vague], lower[vague] = np.inf, -np.inf
+        upper[qids[:, None] == ids[None, :]] = np.inf
+        limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] > k else np.full(len(qids), np.inf)
+        for i, q in enumerate(qids.tolist()):
+            heap = best.setdefault(q, [])
+            most = min(limit[i], -heap[0][0] * (1 + 1e-12)) if len(heap) == k else limit[i]
+            pick = np.flatnonzero((lower[i] <= most) & (ids != q))
+            if not len(pick):
+                continue
+            for d, v in zip(distances(x[pick], y[i]).tolist(), ids[pick].tolist()):
+                item = (-d, -v)
+                if len(heap) < k:
+                    heapq.heappush(heap, item)
+                elif item > heap[0]:
+                    heapq.heapreplace(heap, item)
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec: str = "embedding", k: int = 10) -> DataFrame:
@@ -89,30 +118,37 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec: s
         v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(good, F.lit(False))).select(
         F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(v).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    queries = rows.where("q")
-    blocks = max(1, math.ceil(queries.count() / BLOCK))
-    gathered = (queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "dim", "id", "v")
-                .groupBy("block", "dim").agg(F.collect_list(F.struct("id", "v")).alias("rows")))  # about BLOCK rows each
-    paired = (_tiles(rows, TILE).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-              .join(gathered, ["block", "dim"]).select("ids", "raw", "dim", F.col("rows.id").alias("qids"), F.col("rows.v").alias("qv")))
+    queries = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    n, asked, longest = rows.agg(F.count("*"), F.count_if("q"), F.max("dim")).first()
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, math.ceil(n / LARGE_GROUP), min(tasks, math.ceil(n / SMALL_GROUP)))
+    blocks = max(1, math.ceil(asked / max(1, min(BLOCK, NUMBERS // (longest or 1)))))
+    gathered = (queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"), "id", "v")
+                .groupBy("block", "dim").agg(F.collect_list(F.struct("id", "v")).alias("rows"))  # about BLOCK rows each
+                .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
+    paired = _tiles(rows, groups).join(gathered, ["g", "dim"]).select(
+        "ids", "raw", "dim", F.col("rows.id").alias("qids"), F.col("rows.v").alias("qv"))
+
+    def handed(best):
+        q, v, d = zip(*[(q, -v, -d) for q, heap in best.items() for d, v in heap])
+        return pa.RecordBatch.from_arrays([pa.array(q, type=pa.int64()), pa.array(v, type=pa.int64()), pa.array(d, type=pa.float64())],
+                                          names=["query_id", "vec_id", "score"])
 
     def run(batches):
         best: dict[int, list] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(0)[i].as_py(), dtype="<i8")
+                ids = np.frombuffer(batch.column(0)[i].as_buffer(), dtype="<i8")
                 dim = batch.column(2)[i].as_py()
-                x = np.frombuffer(batch.column(1)[i].as_py(), dtype="<f8").reshape(-1, dim)
-                qids = np.array(batch.column(3)[i].as_py(), dtype=np.int64)
-                y = np.array(batch.column(4)[i].as_py(), dtype=np.float64)
-                # queries that stand more than once get the same neighbours once
-                qids, at = np.unique(qids, return_index=True)
-                _join_tile(best, ids, x, qids, y[at], k)
-        rows = [(q, -v, -d) for q, heap in best.items() for d, v in heap]
-        if rows:
-            q, v, d = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(q, type=pa.int64()), pa.array(v, type=pa.int64()), pa.array(d, type=pa.float64())],
-                                             names=["query_id", "vec_id", "score"])
+                x = np.frombuffer(batch.column(1)[i].as_buffer(), dtype="<f8").reshape(-1, dim)
+                qids = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                y = batch.column(4)[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                _join_tile(best, ids, x, qids, y, k)
+                if len(best) > HELD and any(best.values()):
+                    yield handed(best)
+                    best = {}
+        if any(best.values()):
+            yield handed(best)
 
     found = paired.mapInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")  # k rows from each task
