@@ -51,3 +51,45 @@ def test_neighbours_over_the_180th_meridian(spark):
     right = spark.createDataFrame([(-179.999, 0.0), (179.9995, 0.0)], "lng double, lat double")
     got = {r.oid: r.n_cars for r in nearby_stats(left, right, 500.0).collect()}
     assert got == {"a": 2, "b": 2, "c": 0}
+
+
+def test_nearby_stats_repeated_places_and_keys(spark):
+    """Equal places count as often as they occur, a key's rows add up, and rows without key or place have none."""
+    import math
+    import random
+
+    from wayline.functions.geo import EARTH_RADIUS_M
+    from wayline.operators.nearby import nearby_stats
+
+    r = random.Random(5)
+    spots = [(116 + r.random() / 10, 39.6 + r.random() / 10) for _ in range(40)]
+    left = [(i % 70, *r.choice(spots)) for i in range(90)] + [(200, None, 39.6), (None, *spots[0]), (201, 10.0, 10.0)]
+    right = [r.choice(spots) if i % 2 else (116 + r.random() / 10, 39.6 + r.random() / 10) for i in range(1500)] + [(None, 1.0)]
+
+    def dist(a, b, c, d):
+        h = math.sin(math.radians(d - b) / 2) ** 2 + math.cos(math.radians(b)) * math.cos(math.radians(d)) * math.sin(math.radians(c - a) / 2) ** 2
+        return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(h))
+
+    want = {}
+    for k, x, y in left:
+        if k is not None:
+            want.setdefault(k, []).extend(d for u, v in right if x is not None and u is not None for d in [dist(x, y, u, v)] if d <= 3000)
+    lf, rt = spark.createDataFrame(left, "oid long, lng double, lat double"), spark.createDataFrame(right, "lng double, lat double")
+    for rows in (4096, 3):   # cells whole, and dealt into parts
+        got = nearby_stats(lf, rt, 3000.0, cell_rows=rows).collect()
+        assert len(got) == len(left)
+        for g in got:
+            d = want.get(g.oid, [])
+            assert g.n_cars == len(d)
+            if d:
+                assert abs(g.min_dist - min(d)) < 1e-6 and abs(g.avg_dist - sum(d) / len(d)) < 1e-6
+            else:
+                assert (g.min_dist, g.avg_dist) == (None, None)
+
+
+def test_nearby_stats_makes_no_row_of_a_pair(spark):
+    from wayline.operators.nearby import nearby_stats
+
+    p = spark.range(400).selectExpr("id as oid", "116 + id / 1e6 as lng", "39.6 + id / 1e6 as lat")
+    plan = nearby_stats(p, p, 3000.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "_cx" not in "".join(x for x in plan.splitlines() if "Join Inner" in x)
