@@ -93,3 +93,16 @@ def test_nearby_stats_makes_no_row_of_a_pair(spark):
     p = spark.range(400).selectExpr("id as oid", "116 + id / 1e6 as lng", "39.6 + id / 1e6 as lat")
     plan = nearby_stats(p, p, 3000.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "_cx" not in "".join(x for x in plan.splitlines() if "Join Inner" in x)
+
+
+def test_one_hot_positions_odd_labels(spark):
+    from wayline.functions import sequence as sq
+
+    df = spark.createDataFrame([(1, [2, 0, 1]), (2, [None, 3, -1]), (3, []), (4, None), (5, [0, 1, 2, 3, 0])], "k int, y array<int>")
+    plan = df.select(sq.one_hot_positions("y", 4).alias("m"))
+    got = {r.k: r.m for r in df.select("k", sq.one_hot_positions("y", 4).alias("m")).collect()}
+    zero = [0] * 4
+    one = lambda j: [int(i == j) for i in range(4)]
+    assert got == {1: [one(2), one(0), one(1), zero], 2: [zero, one(3), zero, zero], 3: [zero] * 4, 4: [zero] * 4,
+                   5: [one(1), one(2), one(3), one(0)]}
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 0   # no loop over the T x T cells

@@ -34,11 +34,15 @@ def pad_int_sequence(c, T: int = 59) -> Column:
 
 def one_hot_positions(c, T: int) -> Column:
     """T x T 0/1 matrix of a position sequence; padding rows are all zero; a label of T or more raises."""
-    k = keep_last(c, T)
-    rows = F.sequence(F.lit(1), F.lit(T))
-    hot = F.transform(rows, lambda i: F.transform(
-        F.sequence(F.lit(0), F.lit(T - 1)),
-        lambda j: F.when((i <= F.size(k)) & (F.element_at(k, i) == j), F.lit(1)).otherwise(F.lit(0))))
+    k = F.coalesce(keep_last(c, T), F.array())
+    none = F.array_repeat(F.lit(0), T)
+
+    def row(y: Column) -> Column:   # runs of zeros around the one, not an element at a time
+        at = y.cast("int")
+        return F.when((at == y) & (at >= 0) & (at < T), F.concat(
+            F.array_repeat(F.lit(0), at), F.array(F.lit(1)), F.array_repeat(F.lit(0), F.lit(T - 1) - at))).otherwise(none)
+
+    hot = F.concat(F.transform(k, row), F.array_repeat(none, F.lit(T) - F.size(k)))
     return F.when(F.array_max(k) >= T, F.raise_error(F.format_string(
         "label %s does not fit in %d positions", F.array_max(k).cast("string"), F.lit(T))).cast("array<array<int>>")).otherwise(hot)
 

@@ -285,8 +285,8 @@ FROM gx LEFT JOIN sl ON sl.seq_id = gx.seq_id AND sl.pos = gx.ix
 def q_one_hot_positions(spark, sf):
     s = fx.sequences(spark, sf)
     m = s.select("seq_id", F.posexplode(sq.one_hot_positions("Y", T_STEPS)).alias("i", "row"))
-    e = m.where(F.array_contains("row", 1)).select("seq_id", "i", F.posexplode("row").alias("j", "x")).where(F.col("x") == 1)
-    return e.select("seq_id", (F.col("i") + 1).alias("i"), F.col("j").alias("j"))
+    e = m.select("seq_id", (F.col("i") + 1).alias("i"), (F.array_position("row", 1) - 1).cast("int").alias("j"))
+    return e.where(F.col("j") >= 0)
 
 
 SQL_ONE_HOT_POSITIONS = f"""
