@@ -106,3 +106,10 @@ def test_one_hot_positions_odd_labels(spark):
     assert got == {1: [one(2), one(0), one(1), zero], 2: [zero, one(3), zero, zero], 3: [zero] * 4, 4: [zero] * 4,
                    5: [one(1), one(2), one(3), one(0)]}
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 0   # no loop over the T x T cells
+
+
+def test_pad_matrix_query_adds_only_what_is_not_zero(spark, sf):
+    from wayline.plans import q_vocab
+
+    plan = q_vocab.q_pad_matrix(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_remove(flatten(" in plan

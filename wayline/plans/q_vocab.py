@@ -300,10 +300,11 @@ WHERE (CASE WHEN len > {T_STEPS} THEN pos - (len - {T_STEPS}) ELSE pos END) >= 1
 
 def q_pad_matrix(spark, sf):
     s = fx.sequences(spark, sf)
-    m = sq.pad_matrix("earth_dist", T_STEPS)
-    return s.select("seq_id", F.size(m).alias("n_rows"),
-                    F.size(F.element_at(m, 1)).alias("n_cols"),
-                    F.aggregate(F.flatten(m), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    m = F.col("m")
+    # zeros, the padding among them, change no sum: they leave the list before it is added up an element at a time
+    return s.select("seq_id", sq.pad_matrix("earth_dist", T_STEPS).alias("m")).select(
+        "seq_id", F.size(m).alias("n_rows"), F.size(F.element_at(m, 1)).alias("n_cols"),
+        F.aggregate(F.array_remove(F.flatten(m), F.lit(0.0)), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 SQL_PAD_MATRIX = f"""
