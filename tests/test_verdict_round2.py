@@ -113,3 +113,27 @@ def test_pad_matrix_query_adds_only_what_is_not_zero(spark, sf):
 
     plan = q_vocab.q_pad_matrix(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_remove(flatten(" in plan
+
+
+def test_json_arrays_are_written_in_small_batches(spark, tmp_path, monkeypatch):
+    """Long records come to the writing task's Python a few at a time, and the files hold them all."""
+    import json
+
+    from wayline.sources import writers as wr
+
+    monkeypatch.setattr(wr, "ARRAY_BATCH_BYTES", 1 << 16)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(300, numPartitions=3).selectExpr("id", "repeat('x', 5000) as t")
+    seen = []
+    wr.write_json_arrays(df, str(tmp_path / "a"))
+    assert spark.conf.get(key) == before
+    for f in (tmp_path / "a").glob("part-*"):
+        seen += [x["id"] for x in json.loads(f.read_text())]
+    assert sorted(seen) == list(range(300))
+    spark.conf.set(key, str(1 << 16))
+    try:
+        sizes = df.mapInArrow(lambda bs: (b.__class__.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert max(r.n for r in sizes) < 40

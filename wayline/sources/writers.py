@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,16 +83,29 @@ def write_partitions(df: DataFrame, path: str, partition_cols, fmt: str = "parqu
        .partitionBy(*partition_cols).format(fmt).save(path))
 
 
+#: Bytes of records that a writing task's Python holds at a time (one longer record is held alone).
+ARRAY_BATCH_BYTES = 4 << 20
+
+
 def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rows as JSON array files, one per partition: a record on each line between
     ``[`` and ``]``, so ``scan_json_arrays`` can read them by line."""
     def frame(batches):
         first = True
         for batch in batches:
-            lines = batch.column(0).to_pylist()
-            if lines:
-                yield pa.RecordBatch.from_arrays([pa.array([("[" if first and not i else ",") + x for i, x in enumerate(lines)])], names=["value"])
+            n = batch.num_rows
+            if n:
+                marks = pa.array(["[" if first else ","] + [","] * (n - 1), pa.large_string())
+                lines = pc.binary_join_element_wise(marks, batch.column(0).cast(pa.large_string()), pa.scalar("", pa.large_string()))
+                yield pa.RecordBatch.from_arrays([lines.cast(batch.column(0).type)], names=["value"])
                 first = False
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
 
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(frame, "value string").write.mode(mode).text(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"   # read when the write begins
+    conf = df.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, str(ARRAY_BATCH_BYTES))
+    try:
+        df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(frame, "value string").write.mode(mode).text(path)
+    finally:
+        conf.set(key, before)
