@@ -137,3 +137,10 @@ def test_json_arrays_are_written_in_small_batches(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set(key, before)
     assert max(r.n for r in sizes) < 40
+
+
+def test_feature_frame_encodes_each_list_once(spark, sf):
+    from wayline.plans import q_features
+
+    plan = q_features.feature_frame(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [oid" in x for x in plan.splitlines())   # orders are never grouped again by their id

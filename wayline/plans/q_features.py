@@ -312,7 +312,7 @@ def feature_frame(spark, sf):
     f = f.withColumn("reserve_partner_car_type_id", drop_empty_tokens("reserve_partner_car_type_id"))
     f = f.join(fe.user_history(fx.outcomes(spark, sf), "user_id"), "user_id", "left")   # user columns are kept, not assembled
     scaled = ["dist", *fe.ONLINE_COLUMNS]
-    f = written(f, "features")   # read twice: for the summary and for the frame
+    f = rows = written(f, "features")   # read by the summary, the lists and the frame
     f = st.minmax_normalize(f, st.column_summary(f, scaled), scaled)
     users = _key_vocab(table(spark, sf, "customer"), "c_custkey", "user_id")
     emb = table(spark, sf, "embeddings").where(F.col("vec_id") < EMBEDDING_ROWS)
@@ -320,10 +320,14 @@ def feature_frame(spark, sf):
         known, unknown = KNOWN.get(c, (None, 4))
         vocab = users if known is None else vc.list_vocab(spark, range(known), c)
         if c == "reserve_partner_car_type_id":
-            f = vc.encode_oov_lists(f, vocab, c, c, unknown, "oid", out="_ix")
-            f = f.withColumn("_ix", F.transform("_ix", lambda i: i % EMBEDDING_ROWS))
-        else:
-            f = vc.encode_oov_buckets(f, vocab, c, c, unknown, out="_ix").withColumn("_ix", F.col("_ix") % EMBEDDING_ROWS)
+            # each different list is encoded and averaged once: orders aren't taken apart and grouped again
+            lists = vc.encode_oov_lists(rows.select(c).distinct(), vocab, c, c, unknown, c, out="_ix")
+            lists = lists.withColumn("_ix", F.transform("_ix", lambda i: i % EMBEDDING_ROWS))
+            part = emb.select("vec_id", F.slice("embedding", at, width).alias("embedding"))
+            lists = fe.embedding_lookup(lists, "_ix", part, c, "emb_" + c, dim=width).drop("_ix")
+            f = f.join(lists, c, "left").withColumn("emb_" + c, F.when(F.col("oid").isNotNull(), F.col("emb_" + c)))
+            continue
+        f = vc.encode_oov_buckets(f, vocab, c, c, unknown, out="_ix").withColumn("_ix", F.col("_ix") % EMBEDDING_ROWS)
         part = emb.select("vec_id", F.slice("embedding", at, width).alias("embedding"))
         f = fe.embedding_lookup(f, "_ix", part, "oid", "emb_" + c, dim=width).drop("_ix")
     groups = {"embedding": ["emb_" + c for c, _, _ in EMBEDDED], "order": ["dist"],
