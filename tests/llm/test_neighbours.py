@@ -66,3 +66,32 @@ def test_odd_vectors_repeated_rows_and_empty_table(spark):
             (6, [math.inf, 1]), (7, [math.nan, 1]), (None, [1.0, 2]), (100, [3.0, 3]), (300, [5e-324, 0.0]), (8, [1.0])]
     _check(spark, rows)
     assert neighbours.nearest(_frame(spark, []), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_full_heaps_ask_only_for_pairs_that_may_enter(monkeypatch):
+    """Tiles that come later: no bounds for every pair, and the same neighbours at any size of the numbers."""
+    r = np.random.default_rng(5)
+    x = r.integers(-3, 4, (400, 7)).astype(float)  # many ties
+    x[200:] += r.normal(size=(200, 7)) * 1e-7
+    x[::9] = x[0]
+    for size in (1.0, 3e-9, 7e8, 1e-150, 1e200):
+        x_ = x * size
+        x_[~x_.any(axis=1)] = size
+        ids = r.permutation(400)
+        first, calls = neighbours._first, []
+        monkeypatch.setattr(neighbours, "_first", lambda *a: calls.append(len(a[1])) or first(*a))
+        best = {}
+        block = neighbours.Tile(ids[:90], x_[:90])
+        for at in range(0, 400, 40):
+            neighbours._join_tile(best, neighbours.Tile(ids[at:at + 40], x_[at:at + 40]), block, 10)
+        monkeypatch.undo()
+        assert calls == ([90] if 1e-10 < size < 1e10 else [90] * 10)
+        for q, y in zip(ids[:90].tolist(), x_[:90]):
+            want = sorted((d, i) for d, i in zip(neighbours.distances(x_, y).tolist(), ids.tolist()) if i != q)[:10]
+            assert sorted((-d, -v) for d, v in best[q]) == want
+
+
+def test_a_block_of_queries_meets_all_tiles_of_a_group(spark, capsys):
+    """Tiles and blocks are streamed one after the other; joined row by row, the heaps of many blocks were given up between tiles."""
+    neighbours.nearest(_frame(spark, [(i * 50, [float(i), 1.0]) for i in range(40)]), F.col("vec_id") % 100 == 0).explain()
+    assert "Join" not in capsys.readouterr().out
